@@ -30,8 +30,8 @@ SIGNS = {"@": "a", "$": "s", "!": "i", "|": "i", "€": "e"}
 #: Phrases in which a word of the lexicon is harmless.
 EXCEPTIONS = ("clown fish", "trash can", "trash bin", "class clown car", "white trash bag", "scum line", "pond scum")
 #: Shortest and longest word beginning in the lexicon; least share of toxic training documents that have an entry;
-#: least weight; rows (the least by hash) that the logistic function is fitted on.
-SHORTEST, LONGEST, LEAST_SHARE, LEAST_WEIGHT, FIT_ROWS = 4, 8, 0.002, 2.0, 20_000
+#: least weight; evidence beyond chance; rows (the least by hash) that the logistic function is fitted on.
+SHORTEST, LONGEST, LEAST_SHARE, LEAST_WEIGHT, SURE, FIT_ROWS = 4, 8, 0.002, 2.0, 4.0, 20_000
 
 
 class _Fold(dict):
@@ -159,9 +159,13 @@ def learn(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = EXCE
     toxic = {r.entry: r.n for r in _shares(train.where("toxic = 1"), None).where(F.col("n") >= max(3, LEAST_SHARE * n_toxic)).collect()}
     clean = {r.entry: r.n for r in _shares(train.where("toxic = 0"), frozenset(toxic)).collect()}
     weight = {e: math.log((k + 0.5) / (n_toxic + 1)) - math.log((clean.get(e, 0) + 0.5) / (n_clean + 1)) for e, k in toxic.items()}
-    # rare entries may owe their ratio to chance: their weight is what remains two standard errors lower
-    weight = {e: w - 2 * math.sqrt(1 / (toxic[e] + 0.5) + 1 / (clean.get(e, 0) + 0.5)) * (clean.get(e, 0) > 0) for e, w in weight.items()}
-    lexicon = tuple(sorted((e, round(w, 6)) for e, w in weight.items() if w >= LEAST_WEIGHT and toxic[e] >= 3))
+    # of very many candidates some look toxic by chance: an entry counts if its likelihood ratio outdoes their number
+    share, least = n_toxic / (n_toxic + n_clean), 2 * math.log(len(toxic) + 1) + SURE
+
+    def evidence(k: int, c: int) -> float:
+        return 2 * (k * math.log(k / (k + c) / share) + (c * math.log(c / (k + c) / (1 - share)) if c else 0))
+
+    lexicon = tuple(sorted((e, round(w, 6)) for e, w in weight.items() if w >= LEAST_WEIGHT and evidence(toxic[e], clean.get(e, 0)) >= least))
     sample = train.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     got = _featured(sample, lexicon, exceptions, "toxic").select("toxic", "f").toPandas()
     return Model(lexicon, exceptions, _logistic(np.array(got.f.tolist()), got.toxic.to_numpy(float)))
