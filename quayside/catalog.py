@@ -78,11 +78,11 @@ spine AS (SELECT product_id, CAST(unnest(generate_series(min(date_key), max(date
           FROM panel GROUP BY product_id),
 filled AS (
   SELECT s.product_id, s.date_key, p.available, p.quantity_app, p.quantity_web, p.quantity, p.product_id IS NULL AS is_gap, """
-    + ", ".join(f"coalesce(last_value(p.{c} IGNORE NULLS) OVER back, first_value(p.{c} IGNORE NULLS) OVER ahead) AS {c}" for c in _COV)
+    + ", ".join(f"coalesce(last_value(p.{c} IGNORE NULLS) OVER back, last_value(p.{c} IGNORE NULLS) OVER ahead) AS {c}" for c in _COV)
     + """
   FROM spine s LEFT JOIN panel p ON s.product_id = p.product_id AND s.date_key = p.date_key
   WINDOW back AS (PARTITION BY s.product_id ORDER BY s.date_key ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
-         ahead AS (PARTITION BY s.product_id ORDER BY s.date_key ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"""
+         ahead AS (PARTITION BY s.product_id ORDER BY s.date_key DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
 )
 _STATE = (
     _FILLED

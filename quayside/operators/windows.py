@@ -36,8 +36,8 @@ def rolling_state(width: int, inclusive: bool = False) -> dict[str, Column]:
     return out
 
 
-def lags(column: str, days: list[int]) -> dict[str, Column]:
-    return {f"lag_{d}": F.lag(column, d).over(days()) if d else F.col(column) for d in days}
+def lags(column: str, back: list[int]) -> dict[str, Column]:
+    return {f"lag_{d}": F.lag(column, d).over(days()) if d else F.col(column) for d in back}
 
 
 def baseline(variant: str = "w4321", column: str = "qty_available") -> Column:

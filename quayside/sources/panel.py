@@ -96,9 +96,10 @@ def fill_calendar(panel: DataFrame) -> DataFrame:
     span = panel.groupBy("product_id").agg(F.min("date_key").alias("a"), F.max("date_key").alias("b"))
     spine = span.select("product_id", F.explode(F.sequence("a", "b")).alias("date_key"))
     rows = spine.join(panel.withColumn("present", F.lit(True)), ["product_id", "date_key"], "left").withColumn("is_gap", F.col("present").isNull()).drop("present")
-    w = Window.partitionBy("product_id").orderBy("date_key")
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    return rows.withColumns({c: F.coalesce(F.last(c, True).over(back), F.first(c, True).over(ahead)) for c in COVARIATES})
+    w = Window.partitionBy("product_id")
+    back = w.orderBy("date_key").rowsBetween(Window.unboundedPreceding, 0)
+    ahead = w.orderBy(F.desc("date_key")).rowsBetween(Window.unboundedPreceding, 0)  # a running frame, unlike one that looks ahead
+    return rows.withColumns({c: F.coalesce(F.last(c, True).over(back), F.last(c, True).over(ahead)) for c in COVARIATES})
 
 
 def reference_dates(filled: DataFrame) -> DataFrame:
