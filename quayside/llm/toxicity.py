@@ -166,8 +166,12 @@ def learn(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = EXCE
         return 2 * (k * math.log(k / (k + c) / share) + (c * math.log(c / (k + c) / (1 - share)) if c else 0))
 
     lexicon = tuple(sorted((e, round(w, 6)) for e, w in weight.items() if w >= LEAST_WEIGHT and evidence(toxic[e], clean.get(e, 0)) >= least))
-    sample = train.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    got = _featured(sample, lexicon, exceptions, "toxic").select("toxic", "f").toPandas()
+    # the least hashes: a share that leaves a tenth to spare is taken in place, and only features meet to be cut to fit_rows
+    below = int(min(1.0, 1.1 * fit_rows / (n_toxic + n_clean)) * 2**32)
+    hashed = F.xxhash64("doc_id")
+    sample = train.where(F.shiftrightunsigned(hashed, 32) < below).withColumn("row", hashed.bitwiseAND(F.lit(-2)).bitwiseOR(F.col("toxic")))
+    drawn = _featured(sample, lexicon, exceptions, "row").orderBy("row", "f").limit(fit_rows)
+    got = drawn.select(F.col("row").bitwiseAND(F.lit(1)).alias("toxic"), "f").toPandas()
     return Model(lexicon, exceptions, _logistic(np.array(got.f.tolist()), got.toxic.to_numpy(float)))
 
 
