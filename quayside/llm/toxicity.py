@@ -151,7 +151,8 @@ def learn(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = EXCE
     session(docs.sparkSession)
     own = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text"))
-    train = written(rows.join(own, "doc_id").select("doc_id", "text", "toxic"))
+    # labels grow with the documents: both sides are dealt by key at every size, never broadcast
+    train = written(rows.join(own.hint("merge"), "doc_id").select("doc_id", "text", "toxic"))
     n = {r.toxic: r.n for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = n.get(1, 0), n.get(0, 0)
     if not n_toxic or not n_clean:
