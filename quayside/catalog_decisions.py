@@ -101,7 +101,7 @@ _add("set4_role_overlaps", lambda s, d: context.role_overlaps(_roles(s, d)), f"{
 _BLOCKS = f"{_OOF}, tot AS (SELECT origin, sum(abs(actual)) AS volume, sum(abs(pred_baseline - actual)) AS ref, sum(abs(pred_moving_avg - actual)) AS cand FROM oof WHERE available AND actual IS NOT NULL AND pred_baseline IS NOT NULL AND pred_moving_avg IS NOT NULL GROUP BY origin)"
 _add("ens14_bootstrap", lambda s, d: select.bootstrap(select.block_totals(base._oof(s, d), "pred_baseline", "pred_moving_avg")), f"{_BLOCKS}, num AS (SELECT *, row_number() OVER (ORDER BY origin) - 1 AS pos FROM tot), n AS (SELECT count(*) AS n FROM num), picks AS (SELECT draw, CAST(concat('0x', substr(md5(concat(draw, '-', place)), 1, 8)) AS BIGINT) % n AS pos FROM n, range(1, 501) a(draw), range(1, 1000) b(place) WHERE place <= n), e AS (SELECT draw, 1 - sum(cand) / nullif(sum(ref), 0) AS gain FROM picks JOIN num USING (pos) GROUP BY draw) SELECT {_r('avg(gain)', 'mean')}, {_r('quantile_cont(gain, 0.025)', 'low')}, {_r('quantile_cont(gain, 0.975)', 'high')}, {_r('avg(CAST(gain > 0 AS INT))', 'p_positive')} FROM e")
 _add("sel7_ranking", lambda s, d: select.ranking(base._long(s, d), "baseline"), f"{_OOF}, e AS (SELECT model, origin, sum(abs(pred - actual)) AS e FROM long WHERE common GROUP BY 1, 2), j AS (SELECT e.*, b.e AS r, 1 - e.e / nullif(b.e, 0) AS gain FROM e JOIN e b ON b.origin = e.origin AND b.model = 'baseline'), g AS (SELECT model, 1 - sum(e) / sum(r) AS improvement, avg(CAST(gain > 0 AS INT)) AS won, stddev_pop(gain) AS spread FROM j GROUP BY model) SELECT model, {_r('improvement', 'improvement')}, {_r('won', 'won')}, {_r('spread', 'spread')}, {_r('improvement + 0.05 * won - 0.12 * spread', 'score')} FROM g")
-_add("sel4_5_screened_blend", lambda s, d: select.screened(blend.fit(base._oof(s, d), MODELS), F.col("candidate") == "10-0-0").select("candidate", "aligned", "broad", "control_aligned"), f"{base._FIT}, ctl AS (SELECT aligned AS ca, broad AS cb FROM f WHERE candidate = '10-0-0'), k AS (SELECT f.candidate, f.aligned, f.broad, ca, f.aligned <= 0.998 * ca AS better FROM f, ctl WHERE f.broad <= 1.03 * cb) SELECT candidate, {_r('k.aligned', 'aligned')}, {_r('k.broad', 'broad')}, {_r('ca', 'control_aligned')} FROM k WHERE better OR candidate = '10-0-0' ORDER BY CASE WHEN better THEN 0 ELSE 1 END, round(k.aligned, 12), candidate LIMIT 1")
+_add("sel4_5_screened_blend", lambda s, d: select.screened(blend.fit(base._oof(s, d), MODELS), F.col("candidate") == "10-0-0").select("candidate", "aligned", "broad", "control_aligned"), f"{base._FIT}, ctl AS (SELECT aligned AS ca, broad AS cb FROM f WHERE candidate = '10-0-0'), fine AS (SELECT f.candidate, f.aligned, f.broad, ca, f.aligned <= 0.998 * ca AS better FROM f, ctl WHERE f.broad <= 1.03 * cb) SELECT candidate, {_r('fine.aligned', 'aligned')}, {_r('fine.broad', 'broad')}, {_r('ca', 'control_aligned')} FROM fine WHERE better OR candidate = '10-0-0' ORDER BY CASE WHEN better THEN 0 ELSE 1 END, round(fine.aligned, 12), candidate LIMIT 1")
 
 
 def _by_stratum(s, d):
