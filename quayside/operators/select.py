@@ -51,3 +51,58 @@ def shrunk_plan(local: DataFrame, overall: DataFrame, members: list[str], prior:
     base = overall.select(*[F.col(f"w_{m}").alias(f"all_{m}") for m in members]).limit(1)
     k = F.col("n") / (F.col("n") + prior)
     return local.crossJoin(F.broadcast(base)).withColumns({f"w_{m}": k * F.col(f"w_{m}") + (1 - k) * F.col(f"all_{m}") for m in members}).drop(*[f"all_{m}" for m in members])
+
+
+def primary(summary: DataFrame) -> DataFrame:
+    """The rows that decide: available days, common population, all folds together."""
+    return summary.where("regime = 'conditional' and population = 'common' and aggregation = 'global'")
+
+
+def best_strategy(rows: DataFrame, metric: str = "wape") -> DataFrame:
+    """Of each model, the strategy of least metric (ties: by name), and `rank`: its place among the models."""
+    key = F.struct(F.round(metric, 9).alias("m"), "strategy")
+    won = rows.where(F.col(metric).isNotNull()).groupBy("model").agg(F.min_by("strategy", key).alias("strategy"), F.min(metric).alias(metric)).withColumn("one", F.lit(0))
+    return won.withColumn("rank", F.row_number().over(Window.partitionBy("one").orderBy(F.round(metric, 9), "model"))).drop("one")
+
+
+def family_top(scores: DataFrame, k: int, control: Column) -> DataFrame:
+    """Candidates (candidate, family, aligned): the control, the best k, and the best of each family."""
+    order = [F.round("aligned", 12), F.col("candidate")]
+    rows = scores.withColumn("one", F.lit(0)).withColumn("rank", F.row_number().over(Window.partitionBy("one").orderBy(*order)))
+    rows = rows.withColumn("in_family", F.row_number().over(Window.partitionBy("family").orderBy(*order)))
+    return rows.where(control | (F.col("rank") <= k) | (F.col("in_family") == 1)).drop("one")
+
+
+def cheapest_within(runs: DataFrame, quality: str, cost: str, tolerance: float = 0.02) -> DataFrame:
+    """The run of least cost whose quality is within the tolerance of the best."""
+    best = runs.agg(F.min(quality).alias("__best"))
+    fits = runs.crossJoin(F.broadcast(best)).where(F.col(quality) <= F.col("__best") * (1 + tolerance))
+    return fits.orderBy(cost, F.round(quality, 12), "candidate").limit(1).drop("__best")
+
+
+def policy_sweep(scored: DataFrame, policies: dict[str, Column], actual: str, pred: str) -> DataFrame:
+    """All weighting policies in one pass: mean weight, rows weighted down, weighted WAPE. `policies`: name to weight."""
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("policy"), w.alias("weight")) for n, w in policies.items()])).alias("p")
+    rows = scored.select(F.col(actual).alias("a"), F.col(pred).alias("b"), each).select("a", "b", "p.policy", "p.weight")
+    err, vol = F.sum(F.col("weight") * F.abs(F.col("a") - F.col("b"))), F.sum(F.when(F.col("b").isNotNull(), F.col("weight") * F.abs("a")))
+    return rows.groupBy("policy").agg(F.count("*").alias("n"), F.avg("weight").alias("mean_weight"), F.count_if(F.col("weight") < 1).alias("weighted_down"), (err / F.nullif(vol, F.lit(0.0))).alias("wape"))
+
+
+def check_plan(plan: DataFrame, members: list[str]) -> DataFrame:
+    """Long weights (scope, member, weight), by scope: total, least, active members, unknown members, and whether it is valid."""
+    out = plan.groupBy("scope").agg(F.sum("weight").alias("total"), F.min("weight").alias("least"), F.count_if(F.col("weight") > 1e-8).alias("active"), F.count_if(~F.col("member").isin(members)).alias("unknown"))
+    return out.withColumn("valid", F.coalesce((F.abs(F.col("total") - 1) < 1e-6) & (F.col("least") >= 0) & (F.col("unknown") == 0), F.lit(False)))
+
+
+def even_origins(days: DataFrame, k: int) -> DataFrame:
+    """k dates spread evenly over the distinct ones, ends included (all, if fewer)."""
+    rows = days.select("date_key").distinct().withColumn("one", F.lit(0))
+    numbered = rows.select("date_key", (F.row_number().over(Window.partitionBy("one").orderBy("date_key")) - 1).alias("at"), F.count("*").over(Window.partitionBy("one")).alias("n"))
+    places = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.floor((i * (F.col("n") - 1) + (k - 1) / 2) / F.lit(max(k - 1, 1))).cast("int"))
+    return numbered.where(F.array_contains(places, F.col("at")) | (F.col("n") <= k)).select("date_key")
+
+
+def recent_origins(days: DataFrame, k: int, apart: int = 7) -> DataFrame:
+    """The last k origins whose target weeks do not meet and end by the last day."""
+    last = days.agg(F.max("date_key").alias("last"))
+    return last.where("last is not null").select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: F.date_sub(F.col("last"), i * apart))).alias("origin"))

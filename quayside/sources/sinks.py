@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quayside.functions.scalar import submission
@@ -45,3 +45,23 @@ def fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
     word = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("decimal(38,0)")
     nulls = sum((F.col(c).isNull().cast("long") for c in columns[1:]), F.col(columns[0]).isNull().cast("long"))
     return df.agg(F.count("*").alias("n_rows"), F.sum(nulls).alias("n_nulls"), F.coalesce(F.sum(word), F.lit(0)).cast("string").alias("digest"))
+
+
+def forecast_table(forecasts: DataFrame, keys: list[str], models: list[str]) -> DataFrame:
+    """One row per key and model: the raw prediction and whole units (half to even)."""
+    long = forecasts.unpivot(keys, [F.col(f"pred_{m}").alias(m) for m in models], "model", "raw")
+    return long.withColumn("quantity", submission(F.col("raw")))
+
+
+def payload(state: DataFrame, tail: int = 90) -> DataFrame:
+    """Per product: its last days as a sorted array of (date_key, quantity); to_json makes the report's text of it."""
+    w = Window.partitionBy("product_id").orderBy(F.desc("date_key"))
+    rows = state.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= tail)
+    return rows.groupBy("product_id").agg(F.sort_array(F.collect_list(F.struct("date_key", "quantity"))).alias("history"))
+
+
+def boundary(rows: DataFrame, benchmark: str, columns: list[str]) -> DataFrame:
+    """One row on the data before a benchmark's start: first and last day, rows kept and left out, fingerprint."""
+    before = rows.where(F.col("date_key") < F.lit(benchmark).cast("date"))
+    span = rows.agg(F.min("date_key").alias("first"), F.max(F.when(F.col("date_key") < F.lit(benchmark).cast("date"), F.col("date_key"))).alias("last"), F.count_if(F.col("date_key") >= F.lit(benchmark).cast("date")).alias("left_out"))
+    return span.crossJoin(F.broadcast(fingerprint(before, columns)))
