@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quayside import catalog as base
 from quayside import catalog_decisions as decisions
 from quayside.catalog import _LAGGED, _OOF, _SCORED, _STATE, MODELS, _r
+from quayside.functions import scalar
 from quayside.operators import anomaly, audit, blend, context, select
 from quayside.plans import direct, evaluate, models
 from quayside.sources import sinks
@@ -109,6 +110,16 @@ def _long_plan(s, d):
 #: The plan with its weights as they are, not rounded.
 _PLAN = re.sub(r"round\((k \* .*?), 6\) \+ 0\.0", r"(\1)", decisions._SQL["ens9_10_shrunk_plan"])
 _add("ens16_plan_check", lambda s, d: select.check_plan(_long_plan(s, d), MODELS), f"WITH plan AS ({_PLAN}) SELECT stratum AS scope, {_r(' + '.join(f'w_{m}' for m in MODELS), 'total')}, {_r('least(' + ', '.join(f'w_{m}' for m in MODELS) + ')', 'least')}, {' + '.join(f'CAST(w_{m} > 1e-8 AS BIGINT)' for m in MODELS)} AS active, CAST(0 AS BIGINT) AS unknown, true AS valid FROM plan")
+
+
+def _final(s, d):
+    rows = base._oof(s, d).withColumn("stratum", scalar.stratum(F.col("origin")))
+    blended = F.greatest(sum((F.col(f"pred_{m}") * F.col(f"w_{m}") for m in MODELS[1:]), F.col(f"pred_{MODELS[0]}") * F.col(f"w_{MODELS[0]}")), F.lit(0.0))
+    out = rows.join(F.broadcast(decisions._plan(s, d)), "stratum")  # a row per stratum
+    return out.select("product_id", "origin", "horizon", F.round(blended, 6).alias("blend")).withColumn("quantity", scalar.submission(F.col("blend")))
+
+
+_add("ens12_17_final_blend", _final, f"WITH plan AS ({_PLAN}), o AS ({_OOF} SELECT *, {base._STRATUM} AS stratum FROM oof), b AS (SELECT product_id, origin, horizon, round(greatest({' + '.join(f'pred_{m} * w_{m}' for m in MODELS)}, 0.0), 6) AS blend FROM o JOIN plan USING (stratum)) SELECT product_id, origin, horizon, {_r('b.blend', 'blend')}, CAST(round_even(greatest(b.blend, 0), 0) AS BIGINT) AS quantity FROM b")
 _add("srt5_even_origins", lambda s, d: select.even_origins(base._panel(s, d), 12), f"{base._PANEL}, n AS (SELECT date_key, row_number() OVER (ORDER BY date_key) - 1 AS pos, count(*) OVER () AS n FROM (SELECT DISTINCT date_key FROM panel)) SELECT date_key FROM n WHERE n <= 12 OR list_contains([CAST(floor((i * (n - 1) + 5.5) / 11) AS BIGINT) FOR i IN range(0, 12)], pos)")
 _add("srt6_recent_origins", lambda s, d: select.recent_origins(base._panel(s, d), 4), f"{base._PANEL}, m AS (SELECT max(date_key) AS last FROM panel) SELECT CAST(last - CAST(7 * i AS INT) AS DATE) AS origin FROM m, range(1, 5) r(i)")
 
