@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quayside.llm._util import runs, session, table, utf8, written
 from quayside.llm.suffix_array import suffix_array
@@ -272,23 +273,24 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     return sure.union(near).union(far)
 
 
-def keyed(docs: DataFrame) -> DataFrame:
+def keyed(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, copy, bytes: copy tells texts of the same doc_id apart."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(utf8("text")).alias("copy"), utf8("text").alias("bytes"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(utf8("text")).alias("copy"), utf8("text").alias("bytes"), *carry)
 
 
-def deduplicate(docs: DataFrame, length: int = 100) -> DataFrame:
+def deduplicate(docs: DataFrame, length: int = 100, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (remaining bytes) and kept_text of every row (the bytes' text; a
     character that a passage's edge cuts in two is left out of it).
 
     Every byte covered by a `length`-byte string that also starts earlier (smaller doc_id, or same document and
     earlier start) goes; strings are judged on the input. Null texts are empty; texts under `length` bytes stay
     whole; no documents give no rows. Different texts of one doc_id rank by their hash; rows that repeat doc_id and
-    text are one document, returned each time with the same result. Rows of null doc_id stay as they are.
+    text are one document, returned each time with the same result. Rows of null doc_id stay as they are. carry: columns of docs that stand
+    beside the row's result.
     """
     session(docs.sparkSession)
-    rows = keyed(docs)
-    spans = repeated_spans(rows.where("doc_id is not null"), length).groupBy("doc_id", "copy").agg(F.collect_list(F.struct("start", "strings")).alias("spans"))
+    rows = keyed(docs, carry)
+    spans = repeated_spans(rows.where("doc_id is not null").select("doc_id", "copy", "bytes"), length).groupBy("doc_id", "copy").agg(F.collect_list(F.struct("start", "strings")).alias("spans"))
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("kept_text", pa.string())])
 
     def remove(batches):
@@ -315,6 +317,9 @@ def deduplicate(docs: DataFrame, length: int = 100) -> DataFrame:
                 left = b"".join(kept)
                 for c, v in zip(out, (doc, len(raw), removed, runs_, left, left.decode("utf-8", "ignore"))):
                     c.append(v)
-            yield table(schema, *out)
+            own = table(schema, *out)
+            yield pa.RecordBatch.from_arrays([*own.columns, *map(b.column, carry)], names=[*schema.names, *carry])
 
-    return rows.join(spans, ["doc_id", "copy"], "left").select("doc_id", "bytes", "spans").mapInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_text string")
+    ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_text string"
+    result = StructType([*StructType.fromDDL(ddl), *docs.select(*carry).schema])
+    return rows.join(spans, ["doc_id", "copy"], "left").select("doc_id", "bytes", "spans", *carry).mapInArrow(remove, result)

@@ -196,3 +196,21 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     for i, x in enumerate(w[:-1]):
         z = z + F.lit(x) * F.get("f", F.lit(i))
     return f.select("doc_id", (1 / (1 + F.exp(-z))).alias("score"))
+
+
+def scored(docs: DataFrame, model: Model) -> DataFrame:
+    """docs with the text's score beside every row, repeated rows and null doc_ids included."""
+    session(docs.sparkSession)
+    schema = docs.withColumn("f", F.array(F.lit(0.0))).schema
+    place = docs.columns.index("text")
+
+    def run(batches):
+        a = automaton(model.lexicon, model.exceptions)
+        for b in batches:
+            f = [features((raw or b"").decode("utf-8", "replace"), a) for raw in b.column(place).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(f, pa.list_(pa.float64()))], names=[*b.schema.names, "f"])
+
+    z = F.lit(float(model.weights[-1]))
+    for i, x in enumerate(model.weights[:-1]):
+        z = z + F.lit(float(x)) * F.get("f", F.lit(i))
+    return docs.mapInArrow(run, schema).select(*docs.columns, (1 / (1 + F.exp(-z))).alias("score"))
