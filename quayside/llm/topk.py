@@ -54,10 +54,9 @@ def _add(columns: dict[int, list[np.ndarray]]) -> list[np.ndarray]:
     return out
 
 
-def _kth(slices: list[np.ndarray], k: int, all_rows: np.ndarray) -> np.ndarray:
-    """Bitmaps of the rows with one of the k largest scores, ties of the last one included, most significant first."""
-    q = len(slices[-1])
-    sure, open_ = np.zeros_like(slices[-1]), np.repeat(all_rows[None], q, axis=0)
+def _kth(slices: list[np.ndarray], k: int, rows: np.ndarray) -> np.ndarray:
+    """Of each query's bitmap of rows, those with one of the k largest scores, ties of the last one included, most significant first."""
+    sure, open_ = np.zeros_like(slices[-1]), rows
     for s in reversed(slices):
         more = sure | (open_ & s)
         enough = (np.bitwise_count(more).sum(axis=1, dtype=np.int64) >= k)[:, None]
@@ -66,9 +65,9 @@ def _kth(slices: list[np.ndarray], k: int, all_rows: np.ndarray) -> np.ndarray:
     return sure | open_
 
 
-def _at_least(slices: list[np.ndarray], bound: np.ndarray, all_rows: np.ndarray) -> np.ndarray:
-    """Bitmaps of the rows whose score is at least the query's bound."""
-    over, same = np.zeros_like(slices[-1]), np.repeat(all_rows[None], len(bound), axis=0)
+def _at_least(slices: list[np.ndarray], bound: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Of each query's bitmap of rows, those whose score is at least the query's bound."""
+    over, same = np.zeros_like(slices[-1]), rows
     for i in range(len(slices) - 1, -1, -1):
         bit = (bound >> i & 1).astype(bool)[:, None]
         over = np.where(bit, over, over | (same & slices[i]))
@@ -102,7 +101,15 @@ def block_top(ids, values, slices, shift, query_ids, queries, k):
                 columns.setdefault(w + 1, []).append((x & y) | ((x ^ y) & z))
     zero = np.zeros((len(queries), words), np.uint64)
     total = [zero if s is None else s for s in _add(columns)] or [zero]
-    best = _kth(total, k + 1, all_rows)  # one more, as a query's own row does not count
+    # rows of the query's own vec_id do not count: they are no candidates
+    rest = np.repeat(all_rows[None], len(queries), axis=0)
+    order = np.argsort(ids, kind="stable")
+    first, last = (np.searchsorted(ids[order], query_ids, side=x) for x in ("left", "right"))
+    for i in np.flatnonzero(last > first):
+        own = np.zeros(words * 64, np.uint8)
+        own[order[first[i] : last[i]]] = 1
+        rest[i] &= ~np.packbits(own, bitorder="little").view(np.uint64)
+    best = _kth(total, k, rest)
     # the k-th score: the smallest among the best
     low, live = np.zeros(len(queries), np.int64), best
     for i in range(len(total) - 1, -1, -1):
@@ -112,11 +119,10 @@ def block_top(ids, values, slices, shift, query_ids, queries, k):
         low += np.where(some, 0, 1 << i)
     error = ((1 << shift) - 1) * size.sum(axis=1)
     bound = np.maximum(low - -(-error // (1 << shift)) - 1, 0)
-    near = _at_least(total, bound, all_rows)
+    near = _at_least(total, bound, rest)
     out = []
     for i in range(len(queries)):
         rows = np.flatnonzero(np.unpackbits(near[i].view(np.uint8), bitorder="little")[:n])
-        rows = rows[ids[rows] != query_ids[i]]
         score = values[rows] @ queries[i]
         top = np.lexsort((ids[rows], -score))[:k]
         out.append((np.full(len(top), query_ids[i]), ids[rows][top], score[top]))
@@ -131,8 +137,9 @@ def quantised(vectors: DataFrame, scale: int = 1024) -> DataFrame:
 
 
 def _dealt(df: DataFrame, per: int) -> tuple[DataFrame, int]:
+    """df, which is written, with a block for every row: rows of one vec_id are dealt over all blocks."""
     blocks = max(1, -(-df.count() // per))
-    return df.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("long")), blocks
+    return df.withColumn("block", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(blocks)).cast("long")), blocks
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024) -> DataFrame:
