@@ -31,11 +31,10 @@ def tokenised(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
         own, at = tokenizer(path), 0
         for b in batches:
             ids, lengths = [], []
-            for raw in b.column("text").to_pylist():
-                one = own.encode(raw.decode("utf-8"))
-                one.append(end_id)
-                ids.append(one.tobytes())
-                lengths.append(len(one))
+            close = np.array([end_id], own.dtype).tobytes()
+            for one in own.encode_many([raw.decode("utf-8") for raw in b.column("text").to_pylist()]):
+                ids.append(one.tobytes() + close)
+                lengths.append(len(one) + 1)
             n = np.array(lengths, dtype=np.int64)
             ends = at + np.cumsum(n)
             yield table(schema, b.column("part"), ends - n, b.column("doc_id"), n, ids)
@@ -58,7 +57,7 @@ def pack(docs: DataFrame, path: str, length: int = 2048, with_ids: bool = False)
     schema = pa.schema([*fields, ("ids", pa.list_(pa.int32()))] if with_ids else fields)
 
     def cut(batches):
-        dtype = np.dtype("<u2" if tokenizer(path).code == "H" else "<u4")
+        dtype = tokenizer(path).dtype
         for b in batches:
             out = [[] for _ in schema]
             for doc, g, n, raw in zip(b.column("doc_id").to_pylist(), b.column("g").to_pylist(), b.column("n").to_pylist(), b.column("ids").to_pylist(), strict=True):
