@@ -1,36 +1,40 @@
-"""Language-model scoring by a weighted backoff automaton.
-
-Words that make up at least a fixed share of the training tokens are symbols of their own; other words share a symbol
-by their spelling (last letters and punctuation). Symbol n-grams that make up at least a fixed share become states
-and arcs: counts are discounted, the mass taken goes to the state's failure arc, which leads to the state of the
-shorter context. One left-to-right walk over a text carries the state, follows failure arcs where the symbol has no
-arc, and adds up log probabilities; a shared symbol's part is its word's smoothed share of the symbol. Shares bound
-the automaton (at most 1 / share entries of each kind) whatever the corpus; every token of every document counts.
-
-The vocabulary grows with the corpus, so no task ever holds all of it: documents are dealt into blocks of bounded
-size, a block asks for the counts of its own distinct words, and these join the corpus counts by word.
+"""Language-model scoring by a weighted backoff automaton over all n-grams of the training texts.
+
+Every word and every word n-gram of the training rows counts, however rare: the contexts seen are the automaton's
+states, the n-grams seen its arcs. A state h that was left c(h) times takes its arc for w with probability
+(c(hw) + m * p(w | shorter state)) / (c(h) + m); its failure arc leads to the shorter state with weight
+m / (c(h) + m). The root has an arc for every word, of the base model's probability. One walk from left to right
+carries the state (the longest suffix that is one), follows failure arcs until there is an arc, and adds up log
+probabilities. The state after a token depends on the last tokens only, so that a walk takes all its steps as array
+operations, an order at a time.
+
+The counts grow with the corpus, so no task, and not the driver, ever holds them all. Texts are written in blocks of
+bounded size. A block passes on its distinct n-grams, as sorted hashes in buckets; a bucket's task adds them up over
+all blocks and sends back only the totals that a block does not know already, those of n-grams that other blocks have
+too. A block then builds its own part of the automaton and walks its texts. Words are named by 128 bits of their
+hash, longer n-grams by 63 bits.
 """
 
 from __future__ import annotations
 
-import math
-import re
-from collections import Counter
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quayside.llm._util import session, table, utf8, written
 
-#: The end of a document, as no word has a space.
-END = " "
-#: Least share of training tokens: of a word or spelling to be a symbol, of an n-gram to be an arc, of a context to
-#: be a state. Taken from each count where it is used. Bytes of text in a block.
-SYMBOL_SHARE, ARC_SHARE, STATE_SHARE, DISCOUNT, BLOCK_BYTES = 2e-4, 1e-5, 1e-4, 0.5, 16 << 20
+#: The end of a document, as no word has a space; it also stands before a document's first word.
+END = b" "
+#: Words of the longest n-gram; mass of the shorter state, by order from 2 on; text bytes of a block and of a bucket.
+ORDER, MASS, BLOCK_BYTES, BUCKET_BYTES = 3, (300.0, 100.0), 8 << 20, 8 << 20
 
-_TAIL = re.compile(r"[^\w]*$")
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def tokens(raw: bytes) -> list[bytes]:
@@ -38,220 +42,247 @@ def tokens(raw: bytes) -> list[bytes]:
     return raw.lower().split()
 
 
-def spelling(word: str) -> str:
-    """A rare word's class: its last two letters and what follows them."""
-    tail = _TAIL.search(word).group()
-    core = word[: len(word) - len(tail)]
-    return f" {core[-2:]}{tail[:2]}"
+def _packed(a: np.ndarray) -> bytes:
+    """Ascending or small numbers, by differences and byte planes."""
+    d = np.diff(a.astype(np.uint64), prepend=np.uint64(0))
+    return zstandard.compress(d.view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def _unpacked(b: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(b), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def _squeezed(a: np.ndarray) -> bytes:
+    """Numbers in no order."""
+    return zstandard.compress(a.astype(np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def _widened(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(b), np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+
+
+def _starts(ascending: np.ndarray) -> np.ndarray:
+    """Where each distinct number starts."""
+    return np.flatnonzero(np.r_[True, ascending[1:] != ascending[:-1]]) if len(ascending) else np.zeros(0, np.int64)
+
+
+class Grams:
+    """The n-grams of a block of texts: a row of word numbers, each text between two ends, and its keys by order."""
+
+    def __init__(self, texts: list[bytes], train: list[bool], order: int):
+        number: dict[bytes, int] = defaultdict()
+        number.default_factory = number.__len__
+        number[END]
+        sizes, parts = [], []
+        for raw in texts:
+            own = tokens(raw)
+            sizes.append(len(own) + 2)
+            parts.append(np.fromiter(map(number.__getitem__, own), np.int32, len(own)))
+        sizes = np.array(sizes, np.int64)
+        self.start = np.cumsum(sizes) - sizes
+        self.words = np.zeros(int(sizes.sum()), np.int32)
+        for at, p in zip(self.start.tolist(), parts):
+            self.words[at + 1 : at + 1 + len(p)] = p
+        self.place = np.arange(len(self.words)) - np.repeat(self.start, sizes)
+        self.learned = np.repeat(np.array(train, bool), sizes)
+        digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, number)), ">u8").astype(np.uint64).reshape(-1, 2)
+        self.high, self.low = digests[:, 0], digests[:, 1]
+        self.order = order
+
+    def unigrams(self) -> tuple[np.ndarray, np.ndarray]:
+        """Word numbers in the order of their hashes, and each one's training tokens in that order."""
+        sorted_ = np.lexsort((self.low, self.high))
+        own = np.bincount(self.words[self.learned & (self.place > 0)], minlength=len(self.high))
+        return sorted_, own[sorted_]
+
+    def _keys(self):
+        """For each order from 2 on: places that end an n-gram, and its key times two."""
+        of_word = self.high[self.words]
+        key = of_word.copy()
+        for n in range(2, self.order + 1):
+            key[1:] = key[:-1] * _MIX + of_word[1:] + np.uint64(n)
+            key[1:] ^= key[1:] >> np.uint64(29)
+            key[1:] *= _MIX
+            at = np.flatnonzero(self.place >= n - 1)
+            yield at, key[at] & ~np.uint64(1)
+
+    def longer(self):
+        """For each order from 2 on: the distinct keys, ascending, and their training counts."""
+        for at, own in self._keys():
+            own |= self.learned[at]
+            own.sort()
+            key = own >> np.uint64(1)
+            first = _starts(key)
+            yield key[first], np.add.reduceat((own & np.uint64(1)).astype(np.int64), first) if len(own) else first
+
+    def placed(self):
+        """As longer(), with the places that end an n-gram, ascending by key, and where each key starts among them."""
+        for at, own in self._keys():
+            by = np.argsort(own)
+            own, at = own[by], at[by]
+            first = _starts(own)
+            yield at, first, np.add.reduceat(self.learned[at].astype(np.int64), first) if len(own) else first
+
+
+class Automaton:
+    """A block's part: for each place of its texts the training counts of the n-grams that end there (arcs) and of
+    their contexts (states), by order."""
+
+    def __init__(self, grams: Grams, counts: list[np.ndarray], tokens_: int, distinct: int, mass=MASS):
+        self.grams, self.counts, self.mass = grams, counts, mass
+        self.base = (counts[0] + 0.5) / (tokens_ + 0.5 * (distinct + 1))
+
+    def walk(self) -> tuple[np.ndarray, np.ndarray]:
+        """log10 probability of every place by the root's arcs alone, and by the walk; a text's first end has none."""
+        g = self.grams
+        p = self.base[g.words]
+        root, ends = np.log10(p), self.counts[0][g.words]
+        for n in range(2, g.order + 1):
+            # the state: the n - 1 words before, if these were ever learned; the arc: the n-gram, if ever learned
+            state = np.r_[0, ends[:-1]] * (g.place >= n - 1)
+            arc, m = self.counts[n - 1], self.mass[min(n - 2, len(self.mass) - 1)]
+            p = np.where(state > 0, (arc + m * p) / (state + m), p)
+            ends = arc
+        out = np.log10(p)
+        out[g.start], root[g.start] = 0.0, 0.0
+        return root, out
 
 
 def _blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
-    """doc_id, bytes, train, block: dealt by a hash of the row."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("bytes"), "train")
-    total = rows.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
-    return rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "bytes"), F.lit(max(64, -(-total // block_bytes)))).cast("int"))
+    """block, doc_ids, train, sizes, texts (one after another, compressed), n_bytes: rows as they lie, up to
+    block_bytes of text together; a longer text is a block of its own."""
+    schema = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("train", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())), ("texts", pa.binary()), ("n_bytes", pa.int64())])
 
+    def run(batches):
+        part, k = TaskContext.get().partitionId(), 0
+        held, size = ([], [], []), 0
 
-class Automaton:
-    """states: for each state its arcs {symbol: (log10 p, next state)}, failure state and log10 weight of failing."""
-
-    def __init__(self, arcs, fail, weight, start):
-        self.arcs, self.fail, self.weight, self.start = arcs, fail, weight, start
-
-    def walk(self, symbols: list[int]) -> float:
-        arcs, fail, weight, state, total = self.arcs, self.fail, self.weight, self.start, 0.0
-        for s in symbols:
-            hit = arcs[state].get(s)
-            while hit is None:
-                total += weight[state]
-                state = fail[state]
-                hit = arcs[state].get(s)
-            total += hit[0]
-            state = hit[1]
-        return total
-
-
-def build_automaton(n_symbols: int, end: int, counts: list[dict[tuple, int]], states: list[set], discount: float = DISCOUNT) -> Automaton:
-    """From the counts of the kept n-grams of each order (order 1: of all symbols) and the contexts of each length."""
-    total = sum(counts[0].values())
-    root = {(s,): (counts[0].get((s,), 0) + 0.5) / (total + 0.5 * n_symbols) for s in range(n_symbols)}
-    number = {(): 0}
-    for level in states:
-        for c in sorted(level):
-            number[c] = len(number)
-    arcs: list[dict] = [{} for _ in number]
-    fail, weight = [0] * len(number), [0.0] * len(number)
-
-    def state_of(gram):
-        while gram not in number:
-            gram = gram[1:]
-        return number[gram]
-
-    own: dict[tuple, float] = {}
-    left: dict[tuple, float] = {}
-
-    def p(context, s):
-        if not context:
-            return root[(s,)]
-        if (*context, s) in own:
-            return own[(*context, s)]
-        return left.get(context, 1.0) * p(context[1:], s)
-
-    for s in range(n_symbols):
-        arcs[0][s] = (math.log10(root[(s,)]), state_of((s,)))
-    for order in range(2, len(counts) + 1):
-        by: dict[tuple, list] = {}
-        for g, n in counts[order - 1].items():
-            if g[:-1] in number:
-                by.setdefault(g[:-1], []).append((g[-1], n))
-        for c in sorted(states[order - 2]):
-            seen, kept = counts[order - 2][c], by.get(c, [])
-            rest = 1 - sum(n - discount for _, n in kept) / seen
-            left[c] = rest if rest > 0 else discount / seen
-            i = number[c]
-            fail[i], weight[i] = state_of(c[1:]), math.log10(left[c])
-            for s, n in kept:
-                own[(*c, s)] = (n - discount) / seen + left[c] * p(c[1:], s)
-                arcs[i][s] = (math.log10(own[(*c, s)]), state_of((*c, s)))
-    return Automaton(arcs, fail, weight, state_of((end,)))
-
-
-def score(docs: DataFrame, order: int = 3, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+        def block():
+            ids, train, texts = held
+            return table(schema, [part << 32 | k], [ids], [train], [[len(x) for x in texts]], [zstandard.compress(b"".join(texts), 1)], [sum(map(len, texts))])
+
+        for b in batches:
+            for row in zip(b.column("doc_id").to_pylist(), b.column("train").to_pylist(), b.column("bytes").to_pylist()):
+                for c, x in zip(held, row):
+                    c.append(x)
+                size += len(row[2])
+                if size >= block_bytes:
+                    yield block()
+                    held, size, k = ([], [], []), 0, k + 1
+        if held[0]:
+            yield block()
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("train", F.lit(False)).alias("train"), utf8("text").alias("bytes"))
+    return rows.mapInArrow(run, "block long, doc_ids array<long>, train array<boolean>, sizes array<long>, texts binary, n_bytes long")
+
+
+def _grams(row: dict, order: int) -> Grams:
+    text, ends = zstandard.decompress(row["texts"]), np.cumsum(row["sizes"]).tolist()
+    return Grams([text[a:z] for a, z in zip([0, *ends[:-1]], ends)], row["train"], order)
+
+
+_PASSED = pa.schema([("order", pa.int32()), ("bucket", pa.int64()), ("block", pa.int64()), ("first", pa.int64()), ("keys", pa.binary()), ("more", pa.binary()), ("counts", pa.binary())])
+_TOTALS = pa.schema([("block", pa.int64()), ("order", pa.int32()), ("at", pa.binary()), ("totals", pa.binary()), ("tokens", pa.int64()), ("distinct", pa.int64())])
+
+
+def _passed_on(blocks: DataFrame, order: int, bits: int) -> DataFrame:
+    """Every block's distinct n-grams by order and bucket (a hash's first bits): where the bucket's first stands in
+    the block's order, keys, the words' other 64 bits, and training counts."""
+
+    def parts(n, block, keys, more, counts):
+        bucket = (keys >> np.uint64(64 - bits if n == 1 else 63 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+        edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]).tolist() if len(keys) else []
+        for i in range(0, len(edge) - 1, 512):
+            own = list(zip(edge[i : i + 512], edge[i + 1 : i + 513]))
+            m = len(own)
+            yield table(_PASSED, [n] * m, [int(bucket[a]) for a, _ in own], [block] * m, [a for a, _ in own], [_packed(keys[a:z]) for a, z in own],
+                        [None if more is None else more[a:z].tobytes() for a, z in own], [_squeezed(counts[a:z]) for a, z in own])
+
+    def run(batches):
+        for b in batches:
+            for row in b.to_pylist():
+                g = _grams(row, order)
+                by, counts = g.unigrams()
+                yield from parts(1, row["block"], g.high[by], g.low[by], counts)
+                for n, (keys, counts) in enumerate(g.longer(), 2):
+                    yield from parts(n, row["block"], keys, None, counts)
+
+    return blocks.select("block", "train", "sizes", "texts").mapInArrow(run, "order int, bucket long, block long, first long, keys binary, more binary, counts binary")
+
+
+def _added_up(group: pa.Table) -> pa.Table:
+    """A bucket's totals over all blocks: to each block those that differ from its own counts; of words also a row
+    without a block, with their tokens and how many were learned."""
+    n = group.column("order")[0].as_py()
+    keys = [_unpacked(x) for x in group.column("keys").to_pylist()]
+    size = np.array([len(k) for k in keys])
+    at = np.concatenate([np.arange(a, a + s) for a, s in zip(group.column("first").to_pylist(), size.tolist())])
+    own = np.concatenate([_widened(x) for x in group.column("counts").to_pylist()]).astype(np.int64)
+    block = np.repeat(np.asarray(group.column("block")), size)
+    key = np.concatenate(keys)
+    if n == 1:
+        more = np.concatenate([np.frombuffer(x, np.uint64) for x in group.column("more").to_pylist()])
+        by = np.lexsort((more, key))
+        new = np.r_[True, (key[by][1:] != key[by][:-1]) | (more[by][1:] != more[by][:-1])]
+    else:
+        by = np.argsort(key, kind="stable")
+        new = np.r_[True, key[by][1:] != key[by][:-1]]
+    first = np.flatnonzero(new)
+    total = np.add.reduceat(own[by], first)
+    every = np.empty(len(key), np.int64)
+    every[by] = np.repeat(total, np.diff(np.r_[first, len(key)]))
+    differ = np.flatnonzero(every != own)
+    differ = differ[np.lexsort((at[differ], block[differ]))]
+    edge = np.flatnonzero(np.r_[True, np.diff(block[differ]) != 0, True]).tolist() if len(differ) else []
+    rows = [(int(block[differ[a]]), n, _packed(at[differ[a:z]]), _squeezed(every[differ[a:z]]), None, None) for a, z in zip(edge[:-1], edge[1:])]
+    if n == 1:
+        rows.append((None, n, None, None, int(total.sum()), int((total > 0).sum())))
+    return pa.Table.from_batches([table(_TOTALS, *zip(*rows))], schema=_TOTALS) if rows else _TOTALS.empty_table()
+
+
+def score(docs: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES, mass: tuple[float, ...] = MASS) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score for every row.
 
-    docs: doc_id, text, train (boolean: the row's text is learned from). Null texts are empty: one end. No training
-    tokens: every word is unknown. Repeated rows count each time.
+    docs: doc_id, text, train (boolean: the row's text is learned from; null: it is not). Null texts are empty: one
+    end. No training tokens: every word is unknown. Repeated rows count each time. No rows: none.
     """
     session(docs.sparkSession)
-    rows = _blocks(docs, block_bytes)
-    asked_schema = pa.schema([("word", pa.string()), ("block", pa.int32()), ("n", pa.int64())])
-
-    def ask(batches):
-        counts: dict[int, Counter] = {}
-        seen: dict[int, set] = {}
-        for b in batches:
-            for block, raw, train in zip(b.column("block").to_pylist(), b.column("bytes").to_pylist(), b.column("train").to_pylist()):
-                own = tokens(raw)
-                (counts.setdefault(block, Counter()) if train else seen.setdefault(block, set())).update(own)
-                if train:
-                    counts[block][b" "] += 1
-        for block in sorted({*counts, *seen}):
-            c = counts.get(block, Counter())
-            words = list({*c, *seen.get(block, ())})
-            yield table(asked_schema, [w.decode("utf-8") for w in words], np.full(len(words), block, np.int32), [c.get(w, 0) for w in words])
-
-    asked = written(rows.repartition("block").mapInArrow(ask, "word string, block int, n long"))
-    totals = written(asked.groupBy("word").agg(F.sum("n").alias("c")))
-    n_train, n_distinct = totals.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
-    least = max(1.0, SYMBOL_SHARE * n_train)
-    often = {r.word: r.c for r in totals.where((F.col("c") >= least) | ((F.col("word") == END) & (F.col("c") > 0))).collect()}
-    frequent = sorted({*often, END})
-    kinds = F.pandas_udf(lambda w: w.map(spelling), "string")
-    rare = totals.where((F.col("c") > 0) & (F.col("c") < least) & (F.col("word") != END))
-    by_kind = written(rare.select(kinds("word").alias("kind"), "c").groupBy("kind").agg(F.sum("c").alias("c"), F.count("*").alias("v")))
-    named = {r.kind: (r.c, r.v) for r in by_kind.where(F.col("c") >= least).collect()}
-    rest = by_kind.where(F.col("c") < least).agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    own_symbol = {w.encode("utf-8"): i for i, w in enumerate(frequent)}
-    kind_symbol = {k: len(frequent) + i for i, k in enumerate(sorted(named))}
-    other = len(frequent) + len(named)
-    end = own_symbol[END.encode()]
-    inside = {kind_symbol[k]: (c, v) for k, (c, v) in named.items()} | {other: tuple(rest)}
-    n_symbols = other + 1
-
-    class Symbols(dict):
-        def __missing__(self, w):
-            if len(self) > 500_000:
-                self.clear()
-                self.update(own_symbol)
-            self[w] = s = kind_symbol.get(spelling(w.decode("utf-8")), other)
-            return s
-
-    def grams(n: int, contexts: frozenset | None) -> DataFrame:
-        """gram (as one number), n: symbol n-grams of the training rows whose first n - 1 symbols are a context."""
-        schema = pa.schema([("gram", pa.int64()), ("n", pa.int64())])
-        wanted = None if contexts is None else np.array(sorted(a * n_symbols + b for a, b in contexts), dtype=np.int64)
-
-        def run(batches):
-            symbol, held, size = Symbols(own_symbol), [], 0
-
-            def settle():
-                g, k = np.unique(np.concatenate(held), return_counts=True)
-                return table(schema, g, k.astype(np.int64))
-
-            for b in batches:
-                line = []
-                for raw in b.column("bytes").to_pylist():
-                    line += [end, *map(symbol.__getitem__, tokens(raw)), end, -1]
-                if not line:
-                    continue
-                s = np.array(line, dtype=np.int64)
-                whole = s[: len(s) - n + 1] >= 0
-                code = np.zeros(len(whole), np.int64)
-                for k in range(n):
-                    part = s[k : len(s) - n + 1 + k]
-                    whole &= part >= 0
-                    code = code * n_symbols + part
-                code = code[whole]
-                if wanted is not None and len(wanted):
-                    at = np.minimum(np.searchsorted(wanted, code // n_symbols), len(wanted) - 1)
-                    code = code[wanted[at] == code // n_symbols]
-                held.append(code)
-                size += len(code)
-                if size > 4_000_000:
-                    yield settle()
-                    held, size = [], 0
-            if held:
-                yield settle()
-
-        return rows.where("train").select("bytes").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
-    counts: list[dict] = [{(own_symbol[w.encode("utf-8")],): c for w, c in often.items()}]
-    counts[0] |= {(s,): c for s, (c, _) in inside.items()}
-    states: list[set] = [{g for g, c in counts[0].items() if c > 0}]
-    for n in range(2, order + 1 if n_train else 1):
-        contexts = None if n == 2 else frozenset(states[-1])
-        if contexts is not None and not contexts:
-            break
-        got = grams(n, contexts).where(F.col("n") >= max(2.0, ARC_SHARE * n_train)).collect()
-
-        def split(g, n=n):
-            out = []
-            for _ in range(n):
-                g, s = divmod(g, n_symbols)
-                out.append(s)
-            return tuple(reversed(out))
-
-        counts.append({split(r.gram): r.n for r in got})
-        if n < order:
-            states.append({g for g, c in counts[-1].items() if c >= STATE_SHARE * n_train and g[-1] != end})
-    automaton = build_automaton(n_symbols, end, counts, states)
-    floor = n_train + 0.5 * (n_distinct + 1)
+    blocks = written(_blocks(docs, block_bytes))
+    n_bytes = blocks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
+    bits = max(0, -(-n_bytes // bucket_bytes) - 1).bit_length()
+    passed = _passed_on(blocks, order, bits)
+    totals = passed.groupBy("order", "bucket").applyInArrow(_added_up, "block long, order int, at binary, totals binary, tokens long, distinct long")
+    totals = written(totals)
+    n_train, n_distinct = totals.where("block is null").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-    shared = docs.sparkSession.sparkContext.broadcast((automaton.arcs, automaton.fail, automaton.weight, automaton.start))
-
-    def block_scores(texts: pa.Table, known: pa.Table) -> pa.Table:
-        walker = Automaton(*shared.value)
-        words = known.column("word").to_pylist()
-        c = np.asarray(known.column("c")).astype(np.float64)
-        base = np.log10((c + 0.5) / floor) if floor else np.zeros(len(c))
-        symbol, share = np.empty(len(words), np.int64), np.zeros(len(words))
-        for i, w in enumerate(words):
-            s = own_symbol.get(w.encode("utf-8"))
-            if s is None:
-                s = kind_symbol.get(spelling(w), other)
-                share[i] = math.log10((c[i] + 0.5) / (inside[s][0] + 0.5 * (inside[s][1] + 1)))
-            symbol[i] = s
-        place = {w.encode("utf-8"): i for i, w in enumerate(words)}
-        out = [[] for _ in schema]
-        for doc, raw in zip(texts.column("doc_id").to_pylist(), texts.column("bytes").to_pylist()):
-            at = np.array([place[w] for w in tokens(raw)] + [place[b" "]], dtype=np.int64)
-            got = walker.walk(symbol[at].tolist()) + float(share[at].sum())
-            for col, v in zip(out, (doc, len(at), int((c[at] > 0).sum()), n_train, float(base[at].sum()), got)):
-                col.append(v)
-        return pa.Table.from_batches([table(schema, *out)])
-
-    ends = rows.select(F.lit(END).alias("word"), "block").distinct()
-    need = asked.select("word", "block").union(ends).distinct()
-    known = need.join(totals, "word", "left").select("block", "word", F.coalesce("c", F.lit(0)).alias("c"))
-    texts = rows.select("block", "doc_id", "bytes")
-    return texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(block_scores, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+    def block_scores(own: pa.Table, sent: pa.Table) -> pa.Table:
+        if not own.num_rows:
+            return schema.empty_table()
+        row = own.to_pylist()[0]
+        g = _grams(row, order)
+        news: dict[int, list] = {}
+        for n, at, t in zip(sent.column("order").to_pylist(), sent.column("at").to_pylist(), sent.column("totals").to_pylist()):
+            news.setdefault(n, []).append((_unpacked(at).astype(np.int64), _widened(t).astype(np.int64)))
+        by, counts = g.unigrams()
+        for at, t in news.get(1, ()):
+            counts[at] = t
+        known = np.empty_like(counts)
+        known[by] = counts
+        levels = [known]
+        for n, (at, first, counts) in enumerate(g.placed(), 2):
+            for where, t in news.get(n, ()):
+                counts[where] = t
+            level = np.zeros(len(g.words), np.int64)
+            level[at] = np.repeat(counts, np.diff(np.r_[first, len(at)]))
+            levels.append(level)
+        root, walked = Automaton(g, levels, n_train, n_distinct, mass).walk()
+        seen = (known[g.words] > 0) & (g.place > 0)
+        sums = [np.add.reduceat(x, g.start) for x in (seen.astype(np.int64), root, walked)]
+        n_tokens = np.diff(np.r_[g.start, len(g.words)]) - 1
+        return pa.Table.from_batches([table(schema, row["doc_ids"], n_tokens, sums[0], np.full(len(n_tokens), n_train), sums[1], sums[2])])
+
+    asked = blocks.select("block", "doc_ids", "train", "sizes", "texts")
+    sent = totals.where("block is not null").select("block", "order", "at", "totals")
+    return asked.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(block_scores, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
