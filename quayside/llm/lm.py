@@ -12,7 +12,7 @@ The counts grow with the corpus, so no task, and not the driver, ever holds them
 bounded size. A block passes on its distinct n-grams, as sorted hashes in buckets; a bucket's task adds them up over
 all blocks and sends back only the totals that a block does not know already, those of n-grams that other blocks have
 too. A block then builds its own part of the automaton and walks its texts. Words are named by 128 bits of their
-hash, longer n-grams by 63 bits.
+hash, longer n-grams by KEY_BITS.
 """
 
 from __future__ import annotations
@@ -32,7 +32,9 @@ from quayside.llm._util import session, table, utf8, written
 #: The end of a document, as no word has a space; it also stands before a document's first word.
 END = b" "
 #: Words of the longest n-gram; mass of the shorter state, by order from 2 on; text bytes of a block and of a bucket.
-ORDER, MASS, BLOCK_BYTES, BUCKET_BYTES = 3, (300.0, 100.0), 8 << 20, 8 << 20
+ORDER, MASS, BLOCK_BYTES, BUCKET_BYTES = 3, (300.0, 100.0), 8 << 20, 4 << 20
+#: Bits of a longer n-gram's hash: of 10^13 distinct ones, one in 7,000 shares its count with another.
+KEY_BITS = 56
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -105,7 +107,7 @@ class Grams:
             key[1:] ^= key[1:] >> np.uint64(29)
             key[1:] *= _MIX
             at = np.flatnonzero(self.place >= n - 1)
-            yield at, key[at] & ~np.uint64(1)
+            yield at, key[at] >> np.uint64(64 - KEY_BITS) << np.uint64(1)
 
     def longer(self):
         """For each order from 2 on: the distinct keys, ascending, and their training counts."""
@@ -160,7 +162,7 @@ def _blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
 
         def block():
             ids, train, texts = held
-            return table(schema, [part << 32 | k], [ids], [train], [[len(x) for x in texts]], [zstandard.compress(b"".join(texts), 1)], [sum(map(len, texts))])
+            return table(schema, [part << 32 | k], [ids], [train], [[len(x) for x in texts]], [zstandard.compress(b"".join(texts), 6)], [sum(map(len, texts))])
 
         for b in batches:
             for row in zip(b.column("doc_id").to_pylist(), b.column("train").to_pylist(), b.column("bytes").to_pylist()):
@@ -191,7 +193,7 @@ def _passed_on(blocks: DataFrame, order: int, bits: int) -> DataFrame:
     the block's order, keys, the words' other 64 bits, and training counts."""
 
     def parts(n, block, keys, more, counts):
-        bucket = (keys >> np.uint64(64 - bits if n == 1 else 63 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+        bucket = (keys >> np.uint64((64 if n == 1 else KEY_BITS) - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
         edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]).tolist() if len(keys) else []
         for i in range(0, len(edge) - 1, 512):
             own = list(zip(edge[i : i + 512], edge[i + 1 : i + 513]))
