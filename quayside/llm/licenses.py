@@ -1,10 +1,11 @@
 """License scans by an exact set-similarity join, by DataFrame functions only.
 
-A text block is a line. A template matches a block that contains at least `threshold` of its distinct words. Words
-are ordered by how many blocks have them, rarest first. If a block B contains t of T's n words, it has one of the
-n - t + 1 rarest, so only blocks with such a prefix word are looked at (prefix filter); a block with fewer than t
-distinct words fails (length filter); and from the place of the first common word in the template's order, enough
-words must remain (positional filter). What is left is counted exactly.
+A text's blocks, for a template of m words, are the runs of 3/2 m words (wherever lines end) that start at one of the
+template's words. A template matches a block that has at least `threshold` of its distinct words. Words are ordered by
+how many texts have them, rarest first. If a block has t of a template's n words, then one of them is among the
+template's n - t + 1 rarest (prefix filter); a block with fewer than t of the templates' words fails (length filter); and
+after the first common word, wherever it stands in the template's order and in the block's, both must have t - 1 words
+left (positional filter). What is left is counted exactly.
 """
 
 from __future__ import annotations
@@ -12,114 +13,137 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quayside.llm._util import written
+from quayside.llm.license_texts import NOTICES, TEXTS
+
 #: Phrases whose places are counted, and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: One-line license notices, by the label they give.
-TEMPLATES = {
-    "apache-2.0": "licensed under the apache license version 2 0",
-    "bsd": "redistribution and use in source and binary forms with or without modification are permitted",
-    "cc-by-nc-4.0": "licensed under cc by nc 4 0",
-    "cc-by-sa-4.0": "licensed under cc by sa 4 0",
-    "gpl-3.0": "this work is licensed under the gnu general public license version 3",
-    "mit": "released under the mit license",
-    "mpl-2.0": "this source code form is subject to the terms of the mozilla public license v 2 0",
-    "rights-reserved": "all rights reserved",
-}
+TEMPLATES = (*NOTICES, *TEXTS)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A word on text whose A-Z are not lowered yet.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def words(text: Column) -> Column:
-    """The words of a text, in order."""
-    return F.filter(F.split(F.translate(text, UPPER, LOWER), BREAK), lambda w: w != "")
+def words(low: Column) -> Column:
+    """The words of a text whose A-Z are lowered, in order."""
+    return F.array_remove(F.split(low, BREAK), "")
+
+
+def _words_of(text: str) -> list[str]:
+    """The same of a template's ASCII text."""
+    return "".join(c if c.isalnum() else " " for c in text.lower()).split()
+
+
+class Template:
+    """A template's label, distinct words, how many of them a block must have, and the length of its blocks."""
+
+    def __init__(self, label: str, text: str, threshold: float):
+        own = _words_of(text)
+        self.label, self.words = label, sorted(set(own))
+        self.least = max(1, -(-len(self.words) * round(threshold * 1000) // 1000))
+        self.block = -(-3 * len(own) // 2)
+
+
+def _texts(row: Column, words_: list[str]) -> Column:
+    return F.array_intersect(row, F.array(*map(F.lit, words_)))
+
 
+def blocks(rows: DataFrame, templates: list[Template]) -> DataFrame:
+    """row, k (the template's number), has (the block's words that any template has, each once) of every block. rows: row,
+    ws (words in order)."""
+    known = sorted({w for t in templates for w in t.words})
+    out = None
+    for k, t in enumerate(templates):
+        own, size = F.array(*map(F.lit, t.words)), t.block
+        enough = rows.where(F.size(F.array_intersect("ws", own)) >= t.least)
+        starts = F.filter(F.transform("ws", lambda w, i: F.when(F.array_contains(own, w), i)), lambda i: i.isNotNull())
+        one = enough.select("row", F.lit(k).alias("k"), "ws", F.explode(starts).alias("start"))
+        one = one.select("row", "k", _texts(F.slice("ws", F.col("start") + 1, F.lit(size)), known).alias("has"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
-def _any(patterns) -> str:
-    """Matches text, ASCII letters of either case, that has one of the word sequences."""
-    return "(?i)(?:" + "|".join(sorted(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+".join(p.split()) for p in patterns)) + ")"
 
+def candidates(found: DataFrame, index: DataFrame, positional: bool = True) -> DataFrame:
+    """Blocks beside their template that pass the length, prefix and positional filters. index: k, n, t, template (words,
+    rarest first), order (all templates' words, rarest first)."""
+    met = found.join(F.broadcast(index), "k").where(F.size("has") >= F.col("t"))  # a row a template
+    met = met.withColumn("has", F.array_intersect("order", "has"))
+    prefix = F.slice("template", F.lit(1), F.col("n") - F.col("t") + 1)
+    first = F.get(F.array_intersect(prefix, "has"), F.lit(0))
+    met = met.withColumn("first", first).where("first is not null")
+    left = F.least(F.col("n") - F.array_position("template", F.col("first")), F.size("has") - F.array_position("has", F.col("first")))
+    return met.where(1 + left >= F.col("t")) if positional else met
 
-def template_matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
-    """doc_id, row, label, containment: the best containment of every template met in a line of the text.
 
-    docs: doc_id, row (tells rows apart), text. The word statistics cover all lines that have a template's word.
+def index_of(templates: list[Template], rows: DataFrame) -> DataFrame:
+    """The templates with their words ordered by the texts that have them. rows: has (the text's distinct known words)."""
+    counts = {r.w: r.n for r in rows.select(F.explode("has").alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}  # at most the templates' words
+    known = sorted({w for t in templates for w in t.words}, key=lambda w: (counts.get(w, 0), w))
+    rank = {w: i for i, w in enumerate(known)}
+    entries = [(k, t.label, len(t.words), t.least, sorted(t.words, key=rank.get), known) for k, t in enumerate(templates)]
+    return rows.sparkSession.createDataFrame(entries, "k int, label string, n int, t int, template array<string>, order array<string>")
+
+
+def template_matches(rows: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
+    """row, label, containment: the best containment of every label's templates met in the text.
+
+    rows: row (tells rows apart), has (the text's distinct words that any template has), ws (its words in order; null
+    where `possible` says that there is no match). The word statistics cover all rows.
     """
-    spark = docs.sparkSession
-    sets = {k: sorted(set(v.split())) for k, v in templates.items()}
-    known = sorted({w for v in sets.values() for w in v})
-    need = {k: -(-len(v) * round(threshold * 1000) // 1000) for k, v in sets.items()}
-    # a line can only reach a template if it has one of any n - t + 1 of its words: here, of all its words but t - 1
-    lines = docs.where(F.col("text").rlike(_any(_least_common(sets, need)))).select("doc_id", "row", F.explode(F.split("text", "\n")).alias("line"))
-    lines = lines.where(F.col("line").rlike(_any(known)))
-    blocks = lines.select("doc_id", "row", F.array_distinct(words(F.col("line"))).alias("all")).select(
-        "doc_id", "row", F.size("all").alias("size"), F.array_intersect("all", F.array(*map(F.lit, known))).alias("has")
-    )
-    counts = {r.w: r.n for r in blocks.select(F.explode("has").alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}  # at most the templates' words
-    rank = {w: i for i, w in enumerate(sorted(known, key=lambda w: (counts.get(w, 0), w)))}
-    prefix = []
-    for label, own in sets.items():
-        ordered = sorted(own, key=rank.get)
-        for at, w in enumerate(ordered[: len(ordered) - need[label] + 1]):
-            prefix.append((w, label, at, len(own), need[label], ordered))
-    index = spark.createDataFrame(prefix, "w string, label string, at int, n int, t int, template array<string>")
-    probe = blocks.withColumn("w", F.explode("has"))
-    met = probe.join(F.broadcast(index), "w").where((F.col("size") >= F.col("t")) & (F.col("n") - F.col("at") >= F.col("t")))
-    common = F.size(F.array_intersect("has", "template"))
-    return met.where(common >= F.col("t")).groupBy("doc_id", "row", "label").agg(F.max(common / F.col("n")).alias("containment"))
-
-
-def _least_common(sets: dict, need: dict) -> list[str]:
-    """A small set of words of which every matching line has one: n - t + 1 of each template, the longest first."""
-    out = set()
-    for label, own in sets.items():
-        out.update(sorted(own, key=lambda w: (-len(w), w))[: len(own) - need[label] + 1])
-    return sorted(out)
-
-
-def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
+    own = [Template(label, text, threshold) for label, text in templates]
+    index = index_of(own, rows)
+    met = candidates(blocks(rows.where("ws is not null").select("row", "ws"), own), index)
+    met = met.withColumn("common", F.array_intersect("has", "template"))
+    return met.where(F.size("common") >= F.col("t")).groupBy("row", "label").agg(F.max(F.size("common") / F.col("n")).alias("containment"))
+
+
+def possible(has: Column, templates: list[Template]) -> Column:
+    """The text as a whole has enough words of some template."""
+    out = F.lit(False)
+    for t in templates:
+        out = out | (F.size(_texts(has, t.words)) >= t.least)
+    return out
+
+
+def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for every row.
 
     Null and empty texts have no words, no places and empty labels. score: 1 where a phrase stands, else the best
-    containment of a template, else 0. Repeated rows each give a row.
+    containment of a template, else 0. Repeated rows each give a row; no rows: none. The texts are read once; what is
+    written and read again has the words of those texts only that have enough of a template's.
     """
+    own = [Template(label, text, threshold) for label, text in templates]
+    known = sorted({w for t in own for w in t.words})
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("row", F.xxhash64("text"))
-    own = words(F.col("text"))
+    rows = rows.withColumn("low", F.translate("text", UPPER, LOWER)).withColumn("ws", words(F.col("low")))
     lists = {p: p.split() for p in phrases}
 
-    def places(p):
-        parts = lists[p]
-        same = lambda i: [F.get(F.col("ws"), i + k) == w for k, w in enumerate(parts)]
-
-        def here(i):
-            out = None
-            for c in same(i):
-                out = c if out is None else out & c
+    def places(p: str) -> Column:
+        def here(i: Column) -> Column:
+            out = F.lit(True)
+            for k, w in enumerate(lists[p]):
+                out = out & (F.get(F.col("ws"), i + k) == w)
             return F.coalesce(out, F.lit(False))
 
         return F.filter(F.sequence(F.lit(0), F.greatest(F.size("ws") - 1, F.lit(0))), here)
 
-    base = rows.where(F.col("text").rlike(_any(phrases))).select("doc_id", "row", own.alias("ws"))
-    base = base.select("doc_id", "row", *[places(p).alias(f"p{k}") for k, p in enumerate(phrases)])
-    found = F.array_compact(F.array(*[F.when(F.size(f"p{k}") > 0, F.lit(v)) for k, v in enumerate(phrases.values())]))
-    every = F.flatten(F.array(*[F.col(f"p{k}") for k in range(len(phrases))]))
-    base = base.select("doc_id", "row", F.size(every).cast("long").alias("n_base"), F.array_min(every).cast("long").alias("first_word"), F.array_max(every).cast("long").alias("last_word"), found.alias("base"), F.lit(None).cast("array<string>").alias("more"), F.lit(0.0).alias("best"))
-    more = template_matches(rows, templates, threshold).groupBy("doc_id", "row").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
-    none = [F.lit(None).cast("long").alias(c) for c in ("n_base", "first_word", "last_word")]
-    both = base.unionByName(more.select("doc_id", "row", *none, F.lit(None).cast("array<string>").alias("base"), "more", "best"))
-    both = both.groupBy("doc_id", "row").agg(*[F.max(c).alias(c) for c in ("n_base", "first_word", "last_word", "base", "more", "best")])
-    counted = rows.select("doc_id", "row", F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"))
-    labels = lambda *c: F.array_join(F.array_sort(F.array_distinct(F.concat(*[F.coalesce(x, F.array().cast("array<string>")) for x in c]))), ",")
-    joined = counted.alias("c").join(both.alias("b"), F.col("c.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("c.row") == F.col("b.row")), "left")
-    return joined.select(
-        "c.doc_id",
+    # as text, so that most rows need no look at single words
+    stands = F.col("low").rlike("|".join(BREAK.join(p) for p in lists.values()))
+    rows = rows.select("doc_id", "ws", F.size("ws").cast("long").alias("n_words"), _texts(F.col("ws"), known).alias("has"), *[F.when(stands, places(p)).alias(f"p{k}") for k, p in enumerate(phrases)])
+    rows = rows.withColumn("ws", F.when(possible(F.col("has"), own), F.col("ws"))).withColumn("row", F.monotonically_increasing_id())
+    rows = written(rows)
+    best = template_matches(rows, templates, threshold).groupBy("row").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
+    nothing = F.array().cast("array<string>")
+    base = F.array_compact(F.array(*[F.when(F.size(f"p{k}") > 0, F.lit(v)) for k, v in enumerate(phrases.values())]))
+    every = F.flatten(F.array(*[F.coalesce(F.col(f"p{k}"), F.array().cast("array<int>")) for k in range(len(phrases))]))
+    text = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
+    counted = rows.select("row", "doc_id", "n_words", base.alias("base"), every.alias("every"))
+    return counted.join(best, "row", "left").select(
+        "doc_id",
         "n_words",
-        F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"),
-        "first_word",
-        "last_word",
-        labels(F.col("base")).alias("base_labels"),
-        labels(F.col("base"), F.col("more")).alias("labels"),
-        F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("best", F.lit(0.0))).alias("score"),
+        F.size("every").cast("long").alias("n_base"),
+        F.array_min("every").cast("long").alias("first_word"),
+        F.array_max("every").cast("long").alias("last_word"),
+        text(F.col("base")).alias("base_labels"),
+        text(F.concat("base", F.coalesce("more", nothing))).alias("labels"),
+        F.when(F.size("every") > 0, 1.0).otherwise(F.coalesce("best", F.lit(0.0))).alias("score"),
     )

@@ -225,12 +225,11 @@ def scan(text):
         at += own
         labels |= {label} if own else set()
     more = set(labels)
-    for line in (text or "").split("\n"):
-        own = set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in line)))
-        for label, t in licenses.TEMPLATES.items():
-            t = set(t.split())
-            if len(own & t) / len(t) >= 0.8:
-                more.add(label)
+    for label, t in licenses.TEMPLATES:
+        t = re.findall("[a-z0-9]+", t.lower())
+        size, t = -(-3 * len(t) // 2), set(t)
+        if any(x in t and len(set(w[i : i + size]) & t) / len(t) >= 0.8 for i, x in enumerate(w)):
+            more.add(label)
     return len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(labels)), ",".join(sorted(more))
 
 
