@@ -19,8 +19,10 @@ from quayside.llm.vectors import whole
 #: Bits of an attribute that are sliced; the rest is the boundary's error.
 SLICED = 6
 ROWS, QUERIES = 8192, 256
-#: Scaled components from here on are no exact doubles; such vectors take no part.
-LIMIT = float(1 << 53)
+#: Query piles that meet a block of the index at a time.
+PILES = 64
+#: Bounds of a score: what is beyond counts as the nearest of these.
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 INDEX = pa.schema([("block", pa.int64()), ("dims", pa.int32()), ("shift", pa.int32()), ("ids", pa.binary()), ("values", pa.binary()), ("slices", pa.binary())])
 
@@ -129,10 +131,23 @@ def block_top(ids, values, slices, shift, query_ids, queries, k):
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def wide_top(ids, values, query_ids, queries, k):
+    """As block_top, for numbers of any size: every product as a whole number, scores held to LEAST and MOST."""
+    rows, out = [[int(x) for x in r] for r in values], []
+    for q, own in zip(query_ids.tolist(), queries):
+        q_row = [int(x) for x in own]
+        scored = sorted((-min(max(sum(a * b for a, b in zip(q_row, r)), LEAST), MOST), i) for i, r in zip(ids.tolist(), rows) if i != q)
+        out += [(q, i, -s) for s, i in scored[:k]]
+    return tuple(np.array([x[c] for x in out], np.int64) for c in range(3))
+
+
 def quantised(vectors: DataFrame, scale: int = 1024) -> DataFrame:
-    """vec_id, v: floor(scale * component) of the vectors that take part."""
-    v = F.transform("embedding", lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long"))
-    kept = vectors.where(whole("embedding")).where(F.col("vec_id").isNotNull() & F.forall("embedding", lambda x: F.abs(x.cast("double")) * scale < LIMIT))
+    """vec_id, v: floor(scale * component) of the vectors that take part, as whole doubles (a power of two as the scale
+    only moves the exponent; what overflows is the largest double)."""
+    top = F.lit(1.7976931348623157e308)
+    held = lambda x: F.least(F.greatest(F.lit(float(scale)) * x.cast("double"), -top), top)
+    v = F.transform("embedding", lambda x: F.when(F.abs(held(x)) < 2.0**53, F.floor(held(x)).cast("double")).otherwise(held(x)))
+    kept = vectors.where(whole("embedding") & F.col("vec_id").isNotNull())
     return kept.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
 
 
@@ -145,9 +160,10 @@ def _dealt(df: DataFrame, per: int) -> tuple[DataFrame, int]:
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k rows of largest integer inner product, itself excluded.
 
-    vectors, queries: vec_id, embedding. Ties go to the smaller vec_id. Vectors that are null, empty, or hold null,
-    non-finite or beyond 2^53 / scale components take no part; vectors of another length than the query's neither.
-    Rows of one vec_id are different rows. Fewer than k rows: all of them; none: no rows.
+    vectors, queries: vec_id, embedding. Ties go to the smaller vec_id. Vectors that are null, empty, or hold null or
+    non-finite components take no part; vectors of another length than the query's neither, nor rows of a null vec_id.
+    Rows of one vec_id are different rows. A score beyond a long counts as the nearest long. Fewer than k rows: all of
+    them; none: no rows.
     """
     spark = vectors.sparkSession
     session(spark)
@@ -160,39 +176,47 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
 
     def build(group: pa.Table) -> pa.Table:
         v, ids = matrix(group)
-        lowest = int(v.min())
-        shift = max(0, int(v.max() - lowest).bit_length() - SLICED)
-        bits = max(1, int((v.max() - lowest) >> shift).bit_length())
-        full = (1 << bits) - 1
-        s = _slices(((v - lowest) >> shift).astype(np.uint16), bits)
-        assert s.shape[1] == bits and full
-        return pa.Table.from_batches([table(INDEX, [int(group.column("block")[0].as_py())], [v.shape[1]], [shift], [ids.astype(np.int64).tobytes()], [v.astype(np.int64).tobytes()], [s.tobytes()])])
+        if np.abs(v).max() < 2.0**53:
+            whole_ = v.astype(np.int64)
+            lowest = int(whole_.min())
+            span = int(whole_.max()) - lowest
+            shift = max(0, span.bit_length() - SLICED)
+            s = _slices(((whole_ - lowest) >> shift).astype(np.uint16), max(1, (span >> shift).bit_length())).tobytes()
+        else:
+            shift, s = 0, None
+        return pa.Table.from_batches([table(INDEX, [int(group.column("block")[0].as_py())], [v.shape[1]], [shift], [ids.astype(np.int64).tobytes()], [v.tobytes()], [s])])
 
     def pile(group: pa.Table) -> pa.Table:
         v, ids = matrix(group)
-        return pa.table({"qblock": [int(group.column("block")[0].as_py())], "dims": pa.array([v.shape[1]], pa.int32()), "qids": [ids.astype(np.int64).tobytes()], "qs": [v.astype(np.int64).tobytes()]})
+        return pa.table({"qblock": [int(group.column("block")[0].as_py())], "dims": pa.array([v.shape[1]], pa.int32()), "qids": [ids.astype(np.int64).tobytes()], "qs": [v.tobytes()]})
 
     dims = F.size("v").alias("dims")
     index = written(rows.select("block", "vec_id", "v", dims).groupBy("block", "dims").applyInArrow(build, "block long, dims int, shift int, ids binary, values binary, slices binary"))
     piles = written(asked.select("block", "vec_id", "v", dims).groupBy("block", "dims").applyInArrow(pile, "qblock long, dims int, qids binary, qs binary"))
-    # every block of queries meets every block of rows once
-    pairs = index.withColumn("qblock", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_asked - 1).cast("long")))).join(piles, ["qblock", "dims"])
-    pairs = pairs.repartition(max(1, min(n_rows * n_asked, 10_000)), "block", "qblock")
+    # every pile of queries meets every block of rows once: PILES of them at a time, so the piles travel, not the index
+    turns, blocks = -(-n_asked // PILES), F.sequence(F.lit(0).cast("long"), F.lit(n_rows - 1).cast("long"))
+    here = index.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(max(turns, 1) - 1))))
+    sent = piles.withColumn("turn", F.floor(F.col("qblock") / PILES).cast("int")).withColumn("block", F.explode(blocks))
     found = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
-    def meet(batches):
-        for b in batches:
-            for p in b.to_pylist():
-                d = p["dims"]
-                v = np.frombuffer(p["values"], np.int64).reshape(-1, d)
-                ids, qids = np.frombuffer(p["ids"], np.int64), np.frombuffer(p["qids"], np.int64)
-                q = np.frombuffer(p["qs"], np.int64).reshape(-1, d)
-                if d * float(np.abs(v).max()) * float(np.abs(q).max()) >= 2.0**62:
-                    raise OverflowError("inner products beyond 64 bits")
-                words = -(-len(ids) // 64)
-                s = np.frombuffer(p["slices"], np.uint64).reshape(d, -1, words)
-                yield table(found, *block_top(ids, v, s, p["shift"], qids, q, k))
-
-    best = pairs.mapInArrow(meet, "query_id long, vec_id long, score long")
+    def meet(own: pa.Table, asks: pa.Table) -> pa.Table:
+        out = []
+        for p in own.to_pylist():
+            d = p["dims"]
+            v, ids = np.frombuffer(p["values"]).reshape(-1, d), np.frombuffer(p["ids"], np.int64)
+            for a in asks.to_pylist():
+                if a["dims"] != d:
+                    continue
+                qids, q = np.frombuffer(a["qids"], np.int64), np.frombuffer(a["qs"]).reshape(-1, d)
+                if p["slices"] is None or d * float(np.abs(v).max()) * float(np.abs(q).max()) >= 2.0**62:
+                    got = wide_top(ids, v, qids, q, k)
+                else:
+                    s = np.frombuffer(p["slices"], np.uint64).reshape(d, -1, -(-len(ids) // 64))
+                    got = block_top(ids, v.astype(np.int64), s, p["shift"], qids, q.astype(np.int64), k)
+                out.append(table(found, *got))
+        return pa.Table.from_batches(out, schema=found)
+
+    keys = ["block", "turn", "dims"]
+    best = here.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInArrow(meet, "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
