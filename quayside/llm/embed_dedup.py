@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from quayside.llm._util import runs, session, table, written
 from quayside.llm.components import connected_components
 from quayside.llm.simhash import _forest
-from quayside.llm.vectors import whole
+from quayside.llm.vectors import unit, whole
 
 TABLES, BLOCKS, SCALE, SEED = 10, 2, 0.6, 8
 #: Vectors of a cell or component that one task compares with as many others at once.
@@ -78,8 +78,7 @@ def cells(unit: np.ndarray) -> np.ndarray:
 
 
 def _unit(col: pa.Array) -> np.ndarray:
-    v = np.asarray(col.flatten()).astype(np.float64).reshape(len(col), -1)
-    return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
+    return unit(np.asarray(col.flatten()).astype(np.float64).reshape(len(col), -1))
 
 
 def _block_pairs(members: DataFrame, key: str, size: str, per: int) -> DataFrame:
@@ -99,15 +98,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row.
 
     Vectors that are null, empty, zero, or hold null or non-finite components link with nothing; vectors of different
-    length neither. Rows with equal vectors link with each other. Repeated vec_ids are different rows.
+    length neither. Rows with equal vectors link with each other. Repeated vec_ids are different rows. Components of any
+    size count: a vector is scaled by its largest one before its length is taken. No rows: none.
     """
     session(vectors.sparkSession)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     usable = whole("v") & F.exists("v", lambda x: x != 0)
     fit = rows.where(usable)
-    # equal vectors are one point; it is named by a hash of its components
-    marked = fit.withColumn("id", F.xxhash64(F.transform("v", lambda x: x + F.lit(0.0))))
-    points = written(marked.groupBy("id").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"), F.first("v").alias("v")))
+    # equal vectors are one point, by all their components; the hash only deals them
+    marked = fit.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0))).withColumn("hash", F.xxhash64("v"))
+    points = marked.groupBy("hash", "v").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"))
+    points = written(points.withColumn("id", F.monotonically_increasing_id()))
 
     def to_cells(batches):
         schema = pa.schema([("id", pa.int64()), ("cell", pa.int64())])
@@ -158,6 +159,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     known = written(known.join(degrees, "id", "left"))
     named = known.groupBy("component").agg(F.min("least").alias("component_id"))
     out = known.join(named, "component").select("id", "component_id", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    linked = marked.select("vec_id", "id").join(out, "id").select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id")
+    named_rows = marked.join(points.select("hash", "v", "id"), ["hash", "v"]).select("vec_id", "id")
+    linked = named_rows.join(out, "id").select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id")
     alone = rows.where(~F.coalesce(usable, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
