@@ -12,8 +12,10 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from functools import lru_cache
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -61,9 +63,8 @@ def entries(folded: str) -> set[str]:
     """Candidates of a text: ' word ' for whole words, ' beg' for beginnings."""
     out = set()
     for w in set(folded.split()):
-        if len(w) <= 40:
-            out.add(f" {w} ")
-            out.update(f" {w[:n]}" for n in range(SHORTEST, min(LONGEST, len(w) - 1) + 1))
+        out.add(f" {w} ")
+        out.update(f" {w[:n]}" for n in range(SHORTEST, min(LONGEST, len(w) - 1) + 1))
     return out
 
 
@@ -91,7 +92,13 @@ def matches(folded: str, a: ahocorasick.Automaton) -> list[float]:
             spared.append((start, end))
         elif weight > best.get(start, 0.0):
             best[start] = weight
-    return [w for at, w in best.items() if not any(s <= at < e for s, e in spared)]
+    if not spared:
+        return list(best.values())
+    # phrases in the order of their starts; the furthest end of those that start up to a place
+    spared.sort()
+    starts, ends = [s for s, _ in spared], list(accumulate((e for _, e in spared), max))
+    covered = lambda at: (i := bisect_right(starts, at)) and at < ends[i - 1]
+    return [w for at, w in best.items() if not covered(at)]
 
 
 def features(text: str, a: ahocorasick.Automaton) -> tuple[float, float, float, float]:
