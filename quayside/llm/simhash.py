@@ -40,7 +40,11 @@ def fingerprint(raw: bytes, width: int = 3) -> int:
         end = np.cumsum(size + 1) - 1
         digest = xxhash.xxh64_intdigest
         hashes = [digest(joined[a:z], SEED) for a, z in zip((end - size)[: len(words) - width + 1].tolist(), end[width - 1 :].tolist())]
-    h = np.array(hashes, dtype=np.uint64)
+    return majority(np.array(hashes, dtype=np.uint64))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half the hashes."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(h), 1 << 16):
         bits = np.unpackbits(h[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
