@@ -72,3 +72,16 @@ def runs(batches, key: str):
         held = [b.slice(cut)]
     if held:
         yield pa.Table.from_batches(held)
+
+
+def block_pairs(members: DataFrame, key: str, size: str, per: int) -> DataFrame:
+    """Rows dealt into blocks of a key, once for each pair of blocks: task, lo, hi, i."""
+    k = F.ceil(F.col(size) / per).cast("int")
+    dealt = members.withColumn("k", k).withColumn("i", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
+    pair = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).withColumn("lo", F.least("i", "j")).withColumn("hi", F.greatest("i", "j"))
+    return pair.withColumn("task", F.xxhash64(key, "lo", "hi"))
+
+
+def bounds(key: np.ndarray):
+    b = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
+    return zip(b[:-1].tolist(), b[1:].tolist())

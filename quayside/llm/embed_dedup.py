@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quayside.llm._util import runs, session, table, written
+from quayside.llm._util import block_pairs, bounds, runs, session, table, written
 from quayside.llm.components import connected_components
 from quayside.llm.simhash import _forest
 from quayside.llm.vectors import unit, whole
@@ -81,19 +81,6 @@ def _unit(col: pa.Array) -> np.ndarray:
     return unit(np.asarray(col.flatten()).astype(np.float64).reshape(len(col), -1))
 
 
-def _block_pairs(members: DataFrame, key: str, size: str, per: int) -> DataFrame:
-    """Rows dealt into blocks of a key, once for each pair of blocks: task, lo, hi, i."""
-    k = F.ceil(F.col(size) / per).cast("int")
-    dealt = members.withColumn("k", k).withColumn("i", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
-    pair = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).withColumn("lo", F.least("i", "j")).withColumn("hi", F.greatest("i", "j"))
-    return pair.withColumn("task", F.xxhash64(key, "lo", "hi"))
-
-
-def _bounds(key: np.ndarray):
-    b = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
-    return zip(b[:-1].tolist(), b[1:].tolist())
-
-
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row.
 
@@ -121,14 +108,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
 
     spread = points.select("id", "v", F.size("v").alias("dims")).mapInArrow(to_cells, "id long, cell long").distinct()
     many = spread.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
-    met = _block_pairs(spread.join(many, "cell"), "cell", "n", TOGETHER).select("task", "id")
+    met = block_pairs(spread.join(many, "cell"), "cell", "n", TOGETHER).select("task", "id")
     edge = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def link(batches):
         for t in runs(batches, "task"):
             ids = t.column("id").to_numpy()
             v = t.column("v").combine_chunks()
-            for s, e in _bounds(t.column("task").to_numpy()):
+            for s, e in bounds(t.column("task").to_numpy()):
                 u = _unit(v.slice(s, e - s))
                 x, y = np.nonzero(np.triu(u @ u.T >= threshold, 1))
                 if len(x):
@@ -137,7 +124,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     edges = met.join(points.select("id", "v"), "id").repartition("task").sortWithinPartitions("task").mapInArrow(link, "a long, b long")
     comps = written(connected_components(edges))
     sizes = comps.groupBy("component").agg(F.count("*").alias("n"))
-    members = _block_pairs(comps.withColumnRenamed("node", "id").join(sizes, "component"), "component", "n", TOGETHER)
+    members = block_pairs(comps.withColumnRenamed("node", "id").join(sizes, "component"), "component", "n", TOGETHER)
     members = members.select("task", "id", "i", "lo", "hi").join(points.select("id", "v", "weight"), "id")
     degree = pa.schema([("id", pa.int64()), ("n", pa.int64())])
 
@@ -146,7 +133,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
             ids, w = t.column("id").to_numpy(), t.column("weight").to_numpy()
             i, lo, hi = (t.column(c).to_numpy() for c in ("i", "lo", "hi"))
             v = t.column("v").combine_chunks()
-            for s, e in _bounds(t.column("task").to_numpy()):
+            for s, e in bounds(t.column("task").to_numpy()):
                 u = _unit(v.slice(s, e - s))
                 close = u @ u.T >= threshold
                 if lo[s] != hi[s]:  # two blocks: only pairs across
