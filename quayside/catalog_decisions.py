@@ -8,7 +8,7 @@ from quayside import catalog as base
 from quayside.catalog import _LAGGED, _OOF, _SCORED, _STATE, _STRATUM, MODELS, ORIGINS, _incl, _r
 from quayside.functions import scalar
 from quayside.operators import anomaly, blend, context, select, windows
-from quayside.plans import direct, recursive
+from quayside.plans import direct, models, recursive
 from quayside.sources import sinks
 
 _Q: dict = {}
@@ -23,16 +23,23 @@ def _add(name: str, query, sql: str | None) -> None:
 
 # recursive forecasts ----------------------------------------------------------------------------------------------
 
-_STEP = "list_append(h, coalesce(list_avg(list_slice(h, greatest(len(h) - 27, 1), len(h))), h[len(h)], 0.0))"
+_STEP = "list_append(h, coalesce(list_avg(list_slice(h, greatest(len(h) - 27, 1), len(h))), 0.0))"
+#: The value d days before the target of horizon k; null before the history's start.
+_AGO = "CASE WHEN n + k - {0} >= 1 THEN h[n + k - {0}] END"
+_SAME = ", ".join(f"{_AGO.format(7 * (i + 1))} AS a{i}" for i in range(4))
+_SUM = " + ".join(f"coalesce(a{i} * {4 - i}, 0.0)" for i in range(4)), " + ".join(f"CASE WHEN a{i} IS NOT NULL THEN {4 - i}.0 ELSE 0.0 END" for i in range(4))
 _REC = (
     _OOF
     + f""",
-h0 AS (SELECT product_id, date_key AS origin, list(CAST(qty_available AS DOUBLE)) OVER {_incl(28)} AS h FROM state),
+h0 AS (SELECT product_id, date_key AS origin, list(CAST(qty_available AS DOUBLE)) OVER {_incl(28)} AS h, max(quantity) OVER ({base._W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS top FROM state),
 g0 AS (SELECT *, len(h) AS n FROM h0 WHERE origin IN ({", ".join(f"DATE '{o}'" for o in ORIGINS)})),
 """
-    + ",\n".join(f"g{k} AS (SELECT product_id, origin, {_STEP} AS h, n FROM g{k - 1})" for k in range(1, 8))
-    + """,
-rec AS (SELECT product_id, origin, CAST(k AS BIGINT) AS horizon, CAST(origin + CAST(k AS INT) AS DATE) AS target_date, h[n + k] AS pred FROM g7, range(1, 8) r(k)),
+    + ",\n".join(f"g{k} AS (SELECT product_id, origin, {_STEP} AS h, n, top FROM g{k - 1})" for k in range(1, 8))
+    + f""",
+rec0 AS (SELECT product_id, origin, CAST(k AS BIGINT) AS horizon, CAST(origin + CAST(k AS INT) AS DATE) AS target_date, h[n + k] AS pred, top, {_SAME},
+  list_aggregate(list_slice(h, greatest(n + k - 7, 1), n + k - 1), 'median') AS med, list_avg(list_slice(h, greatest(n + k - 28, 1), n + k - 1)) IS NULL AS nonfinite FROM g7, range(1, 8) r(k)),
+rec AS (SELECT product_id, origin, horizon, target_date, pred, nonfinite, nonfinite AS fallback_used, false AS catastrophic,
+  greatest(10000.0, 50 * greatest(coalesce(top, 0.0), coalesce(CASE WHEN ({_SUM[1]}) > 0 THEN ({_SUM[0]}) / ({_SUM[1]}) END, med, 0.0), 1.0)) AS safety_limit FROM rec0),
 paired AS (SELECT rec.*, s.quantity AS actual, s.available FROM rec JOIN state s ON s.product_id = rec.product_id AND s.date_key = rec.target_date)"""
 )
 
@@ -45,23 +52,51 @@ def _paired(s, d):
     return recursive.with_actuals(_recursive(s, d), base._state(s, d))
 
 
-_add("pnl6_7_8_14_recursive_forecast", _recursive, f"{_REC} SELECT product_id, origin, horizon, target_date, {_r('pred', 'pred')} FROM rec")
-_add("pnl16_jn7_recursion_stability", lambda s, d: recursive.stability(_paired(s, d)), f"{_REC}, a AS (SELECT origin, sum(abs(pred - actual)) FILTER (WHERE available AND actual IS NOT NULL) / nullif(sum(abs(actual)) FILTER (WHERE available AND actual IS NOT NULL), 0) AS wape, max(pred) AS largest, max(pred) / greatest(max(actual), 1.0) AS ratio FROM paired GROUP BY origin) SELECT origin, {_r('wape', 'wape')}, {_r('largest', 'largest')}, {_r('ratio', 'ratio')}, coalesce(largest <= 5000 AND ratio <= 20 AND wape < 2, false) AS passes FROM a")
-_add("agg14_jn8_strategy_pair", lambda s, d: recursive.compare(base._oof(s, d).withColumnRenamed("pred_moving_avg", "pred"), _recursive(s, d)), f"""{_REC}, b AS (SELECT o.actual, o.pred_moving_avg AS d, r.pred AS r FROM oof o JOIN rec r USING (product_id, origin, horizon) WHERE o.available AND o.actual IS NOT NULL),
-m AS (SELECT 'mae' AS metric, avg(abs(d - actual)) AS direct, avg(abs(r - actual)) AS recursive FROM b
-  UNION ALL SELECT 'wape', sum(abs(d - actual)) / nullif(sum(abs(actual)), 0), sum(abs(r - actual)) / nullif(sum(abs(actual)), 0) FROM b
-  UNION ALL SELECT 'bias', avg(d - actual), avg(r - actual) FROM b)
-SELECT metric, {_r('direct', 'direct')}, {_r('recursive', 'recursive')}, {_r('recursive - direct', 'delta')}, CASE WHEN abs(direct) <= abs(recursive) THEN 'direct' ELSE 'recursive' END AS winner FROM m""")
-_add("pnl3_one_step_panel", lambda s, d: direct.direct_panel(base._state(s, d), 1).select("product_id", "origin", "horizon", "target_date", "target", "target_baseline"), f"{_LAGGED}, t AS (SELECT *, coalesce(b4321, med7, mean7, l1, 0.0) AS target_baseline FROM based) SELECT o.product_id, o.date_key AS origin, CAST(1 AS BIGINT) AS horizon, t.date_key AS target_date, {_r('t.quantity', 'target')}, {_r('t.target_baseline', 'target_baseline')} FROM t o JOIN t ON o.product_id = t.product_id AND t.date_key = o.date_key + 1")
+_add("pnl6_recursive_forecast", _recursive, f"{_REC} SELECT product_id, origin, horizon, target_date, {_r('pred', 'pred')}, fallback_used, nonfinite, catastrophic, {_r('safety_limit', 'safety_limit')} FROM rec")
+_SCORED_ROWS = "FILTER (WHERE available AND actual IS NOT NULL)"
+_add("pnl16_jn7_recursion_stability", lambda s, d: recursive.stability(_paired(s, d)), f"{_REC}, a AS (SELECT origin, sum(abs(pred - actual)) {_SCORED_ROWS} / nullif(sum(abs(actual)) {_SCORED_ROWS}, 0) AS wape, max(pred) AS largest, max(pred) / greatest(max(actual), 1.0) AS ratio, count(*) FILTER (WHERE fallback_used) AS fallbacks, count(*) FILTER (WHERE catastrophic) AS beyond_limit, count(*) FILTER (WHERE paired.nonfinite) AS nonfinite FROM paired GROUP BY origin) SELECT origin, {_r('wape', 'wape')}, {_r('largest', 'largest')}, {_r('ratio', 'ratio')}, fallbacks, beyond_limit, a.nonfinite, coalesce(largest <= 5000 AND ratio <= 20 AND wape < 2, false) AS passes FROM a")
+
+
+def _both_strategies(s, d):
+    flat = base._long(s, d).where("model = 'moving_avg'")
+    return recursive.compare(flat, _recursive(s, d).withColumn("model", F.lit("moving_avg")))
+
+
+_PAIR = {"mae": "avg(abs({0} - actual))", "rmse": "sqrt(avg(({0} - actual) * ({0} - actual)))", "wape": "sum(abs({0} - actual)) / nullif(sum(abs(actual)), 0)", "smape": "avg(2 * abs({0} - actual) / (abs(actual) + abs({0}) + 1e-8))", "bias": "avg({0} - actual)"}
+_add("agg14_jn8_strategy_pair", _both_strategies, f"""{_REC}, b AS (SELECT o.actual, o.pred_moving_avg AS d, r.pred AS r FROM oof o JOIN rec r USING (product_id, origin, horizon) WHERE o.available AND o.actual IS NOT NULL AND o.pred_moving_avg IS NOT NULL AND r.pred IS NOT NULL),
+m AS ({" UNION ALL ".join(f"SELECT '{k}' AS metric, {v.format('d')} AS direct, {v.format('r')} AS recursive FROM b" for k, v in _PAIR.items())})
+SELECT 'moving_avg' AS model, metric, {_r('direct', 'direct')}, {_r('recursive', 'recursive')}, {_r('recursive - direct', 'delta')}, CASE WHEN abs(direct) <= abs(recursive) THEN 'direct' ELSE 'recursive' END AS winner FROM m""")
+_ONE_STEP = f"{_LAGGED}, t AS (SELECT *, lag(date_key) OVER ({base._W}) AS origin, coalesce(b4321, lag(at_origin) OVER ({base._W})) AS target_baseline, lag(qty_available) OVER ({base._W}) AS lag_0 FROM based)"
+_add("pnl3_one_step_panel", lambda s, d: direct.direct_panel(base._state(s, d), 1).select("product_id", "origin", "horizon", "target_date", "target", "target_baseline", "lag_0", "season_7"), f"{_ONE_STEP} SELECT product_id, origin, CAST(1 AS BIGINT) AS horizon, date_key AS target_date, {_r('quantity', 'target')}, {_r('target_baseline', 'target_baseline')}, {_r('lag_0', 'lag_0')}, {_r('l7', 'season_7')} FROM t WHERE origin IS NOT NULL")
 
 
 def _bounds(s, d):
     p = direct.trainable(direct.direct_panel(base._state(s, d), 1), "2000-12-03")
-    e = F.log1p("target") - F.log1p("target_baseline")
-    return p.agg(F.percentile(e, F.array(F.lit(0.001), F.lit(0.999))).alias("q")).select((F.get("q", F.lit(0)) - 1).alias("lower"), (F.get("q", F.lit(1)) + 1).alias("upper"))
+    return models.residual_bounds(p)
+
+
+_add("pnl9_residual_bounds", _bounds, f"{_ONE_STEP}, q AS (SELECT quantile_cont(ln(1 + quantity) - ln(1 + target_baseline), [0.001, 0.999]) AS q FROM t WHERE origin IS NOT NULL AND available AND quantity IS NOT NULL AND target_baseline IS NOT NULL AND date_key <= DATE '2000-12-03') SELECT {_r('q[1] - 1', 'lower')}, {_r('q[2] + 1', 'upper')} FROM q")
+
+
+def _step_by_step(s, d):
+    """The same model twice: as rounds of one-step panels, on covariates known ahead, for the week after the cut."""
+    history, ahead = base._split(s, d)
+    return recursive.forecast_with(history, ahead, lambda panel: panel.withColumn("pred", F.col("target_baseline"))).select("product_id", "origin", "horizon", "target_date", "pred", "fallback_used", "safety_limit")
+
+
+_WEEK = f"""{base._FUTURE}, top_ AS (SELECT product_id, max(quantity) AS top FROM state WHERE NOT is_future GROUP BY product_id),
+hist AS (SELECT s.product_id, list(CAST(s.qty_available AS DOUBLE) ORDER BY s.date_key) AS h FROM state s JOIN last_ l ON s.product_id = l.product_id AND s.date_key <= l.last AND s.date_key > l.last - 28 GROUP BY s.product_id),
+w0 AS (SELECT hist.product_id, last, top, h, len(h) AS n FROM hist JOIN last_ USING (product_id) JOIN top_ USING (product_id) WHERE last = (SELECT cut FROM cutoff))"""
+
+
+def _next(k: int) -> str:
+    ago = ", ".join(f"CASE WHEN len(h) - {7 * (i + 1) - 1} >= 1 THEN h[len(h) - {7 * (i + 1) - 1}] END AS a{i}" for i in range(4))
+    made = f"coalesce(CASE WHEN ({_SUM[1]}) > 0 THEN ({_SUM[0]}) / ({_SUM[1]}) END, list_aggregate(list_slice(h, greatest(len(h) - 6, 1), len(h)), 'median'), 0.0)"
+    return f"w{k} AS (SELECT product_id, last, top, n, list_append(h, {made}) AS h FROM (SELECT *, {ago} FROM w{k - 1}))"
 
 
-_add("pnl9_residual_bounds", _bounds, f"{_LAGGED}, t AS (SELECT *, coalesce(b4321, med7, mean7, l1, 0.0) AS target_baseline, lag(date_key) OVER (PARTITION BY product_id ORDER BY date_key) AS origin FROM based), q AS (SELECT quantile_cont(ln(1 + quantity) - ln(1 + target_baseline), [0.001, 0.999]) AS q FROM t WHERE origin IS NOT NULL AND available AND quantity IS NOT NULL AND date_key <= DATE '2000-12-03') SELECT {_r('q[1] - 1', 'lower')}, {_r('q[2] + 1', 'upper')} FROM q")
+_WEEK += ", " + ", ".join(_next(k) for k in range(1, 8))
+_add("pnl7_14_recursive_rounds", _step_by_step, f"{_WEEK} SELECT product_id, last AS origin, CAST(k AS BIGINT) AS horizon, CAST(last + CAST(k AS INT) AS DATE) AS target_date, {_r('h[n + k]', 'pred')}, false AS fallback_used, {_r('greatest(10000.0, 50 * greatest(coalesce(top, 0.0), h[n + k], 1.0))', 'safety_limit')} FROM w7, range(1, 8) r(k) WHERE EXISTS (SELECT 1 FROM filled f, cutoff WHERE f.product_id = w7.product_id AND f.date_key = cut + CAST(k AS INT))")
 
 # context ----------------------------------------------------------------------------------------------------------
 
@@ -120,7 +155,7 @@ def _plan(s, d):
 
 _LEAST = "least(" + ", ".join(f"round(wape_{m}, 9)" for m in MODELS) + ")"
 _WON = "CASE " + " ".join(f"WHEN round(wape_{m}, 9) = {_LEAST} THEN '{m}'" for m in MODELS) + " END"
-_add("ens9_10_shrunk_plan", _plan, f"{_OOF}, k AS (SELECT *, {_STRATUM} AS stratum FROM oof WHERE available AND actual IS NOT NULL), g AS (SELECT stratum, count(*) AS n, {', '.join(f'sum(abs(pred_{m} - actual)) / sum(actual) AS wape_{m}' for m in MODELS)} FROM k GROUP BY stratum), w AS (SELECT stratum, n, n / (n + 500.0) AS k, {_WON} AS won FROM g) SELECT stratum, n, " + ", ".join(_r(f"k * CASE WHEN won = '{m}' THEN 1.0 ELSE 0.0 END + (1 - k) / 3.0", f"w_{m}") for m in MODELS) + " FROM w")
+_add("ens9_shrunk_stratum_plan", _plan, f"{_OOF}, k AS (SELECT *, {_STRATUM} AS stratum FROM oof WHERE available AND actual IS NOT NULL), g AS (SELECT stratum, count(*) AS n, {', '.join(f'sum(abs(pred_{m} - actual)) / sum(actual) AS wape_{m}' for m in MODELS)} FROM k GROUP BY stratum), w AS (SELECT stratum, n, n / (n + 500.0) AS k, {_WON} AS won FROM g) SELECT stratum, n, " + ", ".join(_r(f"k * CASE WHEN won = '{m}' THEN 1.0 ELSE 0.0 END + (1 - k) / 3.0", f"w_{m}") for m in MODELS) + " FROM w")
 
 # sinks ------------------------------------------------------------------------------------------------------------
 

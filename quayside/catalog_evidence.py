@@ -56,19 +56,24 @@ def _risk(s, d):
 _add("agg19_mdl16_context_risk_by_day", _risk, f"{_STATE}, v AS ({' UNION ALL '.join(f'''SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS value FROM filled''' for c in _RISK)}), g AS (SELECT feature, quantile_cont(value, 0.5) AS med, coalesce(nullif((quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) / 1.349, 0), nullif(stddev_pop(value), 0), 1.0) AS sc FROM v GROUP BY feature), r AS (SELECT product_id, date_key, round((" + " + ".join(f"coalesce(abs({c} - (SELECT med FROM g WHERE feature = '{c}')) / (SELECT sc FROM g WHERE feature = '{c}'), 0.0)" for c in _RISK) + f") / 3, 9) AS rarity FROM filled), k AS (SELECT *, cume_dist() OVER (PARTITION BY product_id ORDER BY rarity) AS risk FROM r) SELECT date_key, {_r('avg(risk)', 'mean_risk')}, {_r('max(risk)', 'max_risk')}, count(*) FILTER (WHERE risk >= 0.99) AS flagged FROM k GROUP BY date_key")
 
 
+_SWEPT = [(n, f) for n in ("downweight", "negative_only", "hard_example", "signed") for f in (0.2, 0.5)]
+
+
 def _sweep(s, d):
     p = anomaly.profile(base._state(s, d))
-    made = {f"{n}_{f}": anomaly.weights(F.col("score"), F.col("threshold"), F.col("residual"), F.col("known_event"), n, floor=f) for n in ("downweight", "negative_only") for f in (0.2, 0.5)}
+    kept = {"systemic": F.col("systemic_flag"), "available": F.col("is_available") == 1}
+    made = {f"{n}_{f}": anomaly.weights(F.col("score"), F.col("threshold"), F.col("residual"), F.col("known_event"), n, floor=f, **kept) for n, f in _SWEPT}
     return select.policy_sweep(p, made, "qty_available", "expected")
 
 
 def _policy(n: str, f: float) -> str:
-    down = f"greatest(exp(-greatest((score - threshold) / threshold, 0.0)), {f})"
-    by = down if n == "downweight" else f"CASE WHEN residual < 0 THEN {down} ELSE 1.0 END"
-    return f"SELECT '{n}_{f}' AS policy, qty_available AS a, expected AS b, CASE WHEN score IS NULL THEN 1.0 WHEN known_event THEN greatest({by}, 0.65) ELSE {by} END AS w FROM profile"
+    down = f"greatest(exp(-coalesce(greatest(score - threshold, 0.0) / threshold, 0.0)), {f})"
+    signed = f"CASE WHEN residual < 0 THEN {down} WHEN residual > 0 THEN up ELSE 1.0 END"
+    by = {"downweight": down, "negative_only": f"CASE WHEN residual < 0 THEN {down} ELSE 1.0 END", "hard_example": "up", "signed": signed}[n]
+    return f"SELECT '{n}_{f}' AS policy, qty_available AS a, expected AS b, {base._weight_sql(by)} AS w FROM profile"
 
 
-_add("sel11_policy_sweep", _sweep, f"{_SCORED}, x AS ({' UNION ALL '.join(_policy(n, f) for n in ('downweight', 'negative_only') for f in (0.2, 0.5))}) SELECT policy, count(*) AS n, {_r('avg(w)', 'mean_weight')}, count(*) FILTER (WHERE w < 1) AS weighted_down, {_r('sum(w * abs(a - b)) / nullif(sum(w * abs(a)) FILTER (WHERE b IS NOT NULL), 0)', 'wape')} FROM x GROUP BY policy")
+_add("sel11_policy_sweep", _sweep, f"{_SCORED}, x AS ({' UNION ALL '.join(_policy(n, f) for n, f in _SWEPT)}) SELECT policy, count(*) AS n, {_r('avg(w)', 'mean_weight')}, count(*) FILTER (WHERE w < 1) AS weighted_down, {_r('sum(w * abs(a - b)) / nullif(sum(w * abs(a)) FILTER (WHERE b IS NOT NULL), 0)', 'wape')} FROM x GROUP BY policy")
 
 # choices ----------------------------------------------------------------------------------------------------------
 
@@ -108,8 +113,9 @@ def _long_plan(s, d):
 
 
 #: The plan with its weights as they are, not rounded.
-_PLAN = re.sub(r"round\((k \* .*?), 6\) \+ 0\.0", r"(\1)", decisions._SQL["ens9_10_shrunk_plan"])
-_add("ens16_plan_check", lambda s, d: select.check_plan(_long_plan(s, d), MODELS), f"WITH plan AS ({_PLAN}) SELECT stratum AS scope, {_r(' + '.join(f'w_{m}' for m in MODELS), 'total')}, {_r('least(' + ', '.join(f'w_{m}' for m in MODELS) + ')', 'least')}, {' + '.join(f'CAST(w_{m} > 1e-8 AS BIGINT)' for m in MODELS)} AS active, CAST(0 AS BIGINT) AS unknown, true AS valid FROM plan")
+_PLAN = re.sub(r"round\((k \* .*?), 6\) \+ 0\.0", r"(\1)", decisions._SQL["ens9_shrunk_stratum_plan"])
+_LONG_PLAN = " UNION ALL ".join(f"SELECT stratum AS scope, '{m}' AS member, w_{m} AS weight FROM plan" for m in MODELS)
+_add("ens16_plan_check", lambda s, d: select.check_plan(_long_plan(s, d), MODELS), f"WITH plan AS ({_PLAN}), lp AS ({_LONG_PLAN}), g AS (SELECT scope, sum(weight) AS total, min(weight) AS least, count(*) FILTER (WHERE weight > 1e-8) AS active, count(*) FILTER (WHERE member NOT IN ({', '.join(repr(m) for m in MODELS)})) AS unknown FROM lp GROUP BY scope) SELECT scope, {_r('total', 'total')}, {_r('least', 'least')}, active, unknown, coalesce(abs(total - 1) < 1e-6 AND least >= 0 AND unknown = 0, false) AS valid FROM g")
 
 
 def _final(s, d):
@@ -138,16 +144,16 @@ def _modelled(kind: str, trees: int = 20, seeds: tuple[int, ...] = (42,)):
 
 
 _add("mdl1_8_ridge", _modelled("ridge"), None)
-_add("mdl2_trees_a", _modelled("trees_a"), None)
+_add("mdl2_trees_of_20", _modelled("trees_a"), None)
 _add("mdl4_tweedie", _modelled("tweedie"), None)
 _add("mdl6_huber", _modelled("huber"), None)
 
 # report tables ----------------------------------------------------------------------------------------------------
 
-_add("snk2_forecast_table", lambda s, d: sinks.forecast_table(base._oof(s, d), ["product_id", "origin", "horizon"], MODELS), f"{_OOF} SELECT product_id, origin, horizon, model, {_r('pred', 'raw')}, CAST(round_even(greatest(pred, 0), 0) AS BIGINT) AS quantity FROM long")
+_add("snk2_forecast_table", lambda s, d: sinks.forecast_table(base._oof(s, d), ["product_id", "origin", "horizon"], MODELS), f"{_OOF} SELECT product_id, origin, horizon, model, {_r('pred', 'raw')}, CAST(CASE WHEN pred IS NOT NULL THEN round_even(greatest(pred, 0), 0) END AS BIGINT) AS quantity FROM long")
 _add("snk5_win23_history_payload", lambda s, d: sinks.payload(base._state(s, d)).select("product_id", F.size("history").cast("long").alias("n"), F.sha2(F.array_join(F.transform("history", lambda h: F.concat_ws(":", h["date_key"].cast("string"), F.coalesce(F.floor(h["quantity"]).cast("string"), F.lit("~")))), ","), 256).alias("digest")), f"{_STATE}, r AS (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY date_key DESC) AS rn FROM state) SELECT product_id, count(*) AS n, sha256(string_agg(CAST(date_key AS VARCHAR) || ':' || coalesce(CAST(CAST(floor(quantity) AS BIGINT) AS VARCHAR), '~'), ',' ORDER BY date_key)) AS digest FROM r WHERE rn <= 90 GROUP BY product_id")
 _MARK = ["product_id", "date_key", "is_promo"]
-_add("snk8_source_boundary", lambda s, d: sinks.boundary(base._panel(s, d), "2000-12-03", _MARK), f"{base._PANEL}, b AS (SELECT * FROM panel WHERE date_key < DATE '2000-12-03') SELECT (SELECT min(date_key) FROM panel) AS first, max(date_key) AS last, (SELECT count(*) FROM panel WHERE date_key >= DATE '2000-12-03') AS left_out, count(*) AS n_rows, CAST(0 AS BIGINT) AS n_nulls, CAST(sum(CAST(concat('0x', substr(md5(concat_ws('|', product_id, CAST(date_key AS VARCHAR), CAST(is_promo AS VARCHAR))), 1, 8)) AS BIGINT)) AS VARCHAR) AS digest FROM b")
+_add("snk8_source_boundary", lambda s, d: sinks.boundary(base._panel(s, d), "2000-12-03", _MARK), f"{base._PANEL}, b AS (SELECT * FROM panel WHERE date_key < DATE '2000-12-03') SELECT (SELECT min(date_key) FROM panel) AS first, max(date_key) AS last, (SELECT count(*) FROM panel WHERE date_key >= DATE '2000-12-03') AS left_out, count(*) AS n_rows, CAST(sum(CAST(product_id IS NULL AS INT) + CAST(date_key IS NULL AS INT) + CAST(is_promo IS NULL AS INT)) AS BIGINT) AS n_nulls, CAST(sum(CAST(concat('0x', substr(md5(concat_ws('|', product_id, CAST(date_key AS VARCHAR), CAST(is_promo AS VARCHAR))), 1, 8)) AS BIGINT)) AS VARCHAR) AS digest FROM b")
 
 
 def queries() -> dict:

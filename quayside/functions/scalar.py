@@ -127,6 +127,18 @@ def stratum(origin: Column, days: int = 7) -> Column:
     return F.when(winter, "winter").when(holiday, "holiday").otherwise("regular")
 
 
+def context_calendar(date: str = "date_key") -> dict[str, Column]:
+    """The weekday's and the month's place on their cycles."""
+    weekday, month = F.weekday(date) * (2 * math.pi / 7), F.month(date) * (2 * math.pi / 12)
+    return {"weekday_sin": F.sin(weekday), "weekday_cos": F.cos(weekday), "month_sin": F.sin(month), "month_cos": F.cos(month)}
+
+
+def canonical(c: Column) -> Column:
+    """A category as text: whole numbers without decimals, booleans as true or false, null as 'missing'."""
+    number = c.try_cast("double")
+    return F.coalesce(F.when(number.isNotNull() & (number == F.floor(number)) & c.try_cast("boolean").isNull(), number.cast("long").cast("string")).otherwise(c.cast("string")), F.lit("missing"))
+
+
 def candidate_id(config: Column) -> Column:
     return F.substring(F.sha2(F.to_json(config), 256), 1, 12)
 

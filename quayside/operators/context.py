@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quayside.functions.quantiles import exact_quantiles
+
 
 def long_values(df: DataFrame, columns: list[str], kind: str) -> DataFrame:
     """feature, value: the columns' values as rows, cast to one type."""
@@ -20,11 +22,16 @@ def category_shares(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def robust_scale(df: DataFrame, columns: list[str]) -> DataFrame:
-    """feature, median, scale: interquartile range over 1.349; if zero the population deviation; if zero 1."""
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = long_values(df, columns, "double").groupBy("feature").agg(q.alias("q"), F.stddev_pop("value").alias("sd"))
-    spread = (F.get("q", F.lit(2)) - F.get("q", F.lit(0))) / 1.349
-    return out.select("feature", F.get("q", F.lit(1)).alias("median"), F.coalesce(F.when(spread > 0, spread), F.when(F.col("sd") > 0, F.col("sd")), F.lit(1.0)).alias("scale"))
+    """feature, median, scale: interquartile range over 1.349; if zero the population deviation; if zero 1. Quantiles are
+    exact, of all rows."""
+    out = None
+    for c in columns:
+        q = exact_quantiles(df, c, {"low": 0.25, "median": 0.5, "high": 0.75})
+        sd = df.agg(F.stddev_pop(F.col(c).cast("double")).alias("sd"), F.count(c).alias("known"))
+        spread = (F.col("high") - F.col("low")) / 1.349
+        one = q.crossJoin(F.broadcast(sd)).where("known > 0").select(F.lit(c).alias("feature"), "median", F.coalesce(F.when(spread > 0, spread), F.when(F.col("sd") > 0, F.col("sd")), F.lit(1.0)).alias("scale"))  # one row
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def weekly_lift(state: DataFrame) -> DataFrame:

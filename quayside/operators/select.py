@@ -106,3 +106,28 @@ def recent_origins(days: DataFrame, k: int, apart: int = 7) -> DataFrame:
     """The last k origins whose target weeks do not meet and end by the last day."""
     last = days.agg(F.max("date_key").alias("last"))
     return last.where("last is not null").select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: F.date_sub(F.col("last"), i * apart))).alias("origin"))
+
+
+def keep_first(rows: DataFrame, same: list[str], order: str) -> DataFrame:
+    """Of rows that agree on `same`, the first by `order`."""
+    place = F.row_number().over(Window.partitionBy(*same).orderBy(order))
+    return rows.withColumn("__place", place).where("__place = 1").drop("__place")
+
+
+def unused(every: DataFrame, used: DataFrame, on: list[str]) -> DataFrame:
+    """Rows of `every` that `used` doesn't have."""
+    return every.join(used.select(*on).distinct(), on, "left_anti")
+
+
+def side_by_side(control: DataFrame, candidate: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, actual, control, candidate of the keys that both have."""
+    a, b = control.withColumnRenamed("pred", "control"), candidate.withColumnRenamed("pred", "candidate")
+    return a.join(b, keys).select(*keys, "actual", "control", "candidate")
+
+
+def seed_pairs(daily: DataFrame) -> DataFrame:
+    """date_key, seed_a, seed_b, score_a, score_b of all pairs of seeds on the days that both have (date_key, seed, score)."""
+    rows = daily.where("score is not null")
+    a = rows.select("date_key", F.col("seed").alias("seed_a"), F.col("score").alias("score_a"))
+    b = rows.select("date_key", F.col("seed").alias("seed_b"), F.col("score").alias("score_b"))
+    return a.join(b, "date_key").where("seed_a < seed_b")

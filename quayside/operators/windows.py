@@ -30,10 +30,11 @@ def rolling_state(width: int, inclusive: bool = False) -> dict[str, Column]:
         f"std_{width}": F.coalesce(F.when(F.count("qty_available").over(w) > 1, F.stddev_samp("qty_available").over(w)), F.lit(0.0)),
         f"median_{width}": F.percentile("qty_available", F.lit(0.5)).over(w),
     }
-    for c in ("is_available", "observed", "is_unavailable"):
-        out[f"{c}_{width}"] = F.sum(c).over(w)
-        out[f"{c}_rate_{width}"] = F.coalesce(F.sum(c).over(w), F.lit(0)) / rows
-    return out
+    counted = {c: F.col(c) for c in ("is_available", "observed", "is_unavailable")} | {"gap": F.col("is_gap").cast("int")}
+    for name, c in counted.items():
+        out[f"{name}_{width}"] = F.sum(c).over(w)
+        out[f"{name}_rate_{width}"] = F.coalesce(F.sum(c).over(w), F.lit(0)) / rows
+    return out | {f"stockout_rate_{width}": out[f"is_unavailable_rate_{width}"]}
 
 
 def lags(column: str, back: list[int]) -> dict[str, Column]:
@@ -56,6 +57,7 @@ def middle(values: list[Column]) -> Column:
 
 
 def baseline_with_fallback(variant: str = "w4321") -> Column:
+    """The baseline of the day, else what the day before knew: 7-day median, mean, its own quantity, else 0."""
     return F.coalesce(baseline(variant), F.percentile("qty_available", F.lit(0.5)).over(days().rowsBetween(-7, -1)), F.avg("qty_available").over(days().rowsBetween(-7, -1)), F.lag("qty_available").over(days()), F.lit(0.0))
 
 
@@ -126,12 +128,31 @@ def expectation() -> Column:
     return F.coalesce(baseline(), F.when(F.count("qty_available").over(before(28)) >= 4, median(28)), median(7))
 
 
-def robust_score(residual: str, width: int = 180, least: int = 28, floor: float = 0.10) -> Column:
-    """Distance from the past median in past interquartile deviations."""
-    w = days().rowsBetween(-width, -1)
-    q = F.percentile(residual, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).over(w)
-    scale = F.greatest((F.get(q, F.lit(2)) - F.get(q, F.lit(0))) / 1.349, F.lit(floor))
-    return F.when(F.count(residual).over(w) >= least, F.abs(F.col(residual) - F.get(q, F.lit(1))) / scale)
+def robust_score(rows: DataFrame, residual: str, width: int = 180, least: int = 28, floor: float = 0.10) -> DataFrame:
+    """rows with center, scale (past interquartile deviation, at least floor) and score: the distance of the residual
+    from the past median in scales; null before `least` known days.
+
+    The quantiles of a sliding frame come from one that is kept sorted, product by product; a product is as long as its
+    calendar.
+    """
+    from pyspark.sql.types import DoubleType, StructField, StructType
+
+    schema = StructType([*rows.schema.fields, *[StructField(c, DoubleType()) for c in ("center", "scale", "score")]])
+
+    def one(group):
+        import pyarrow as pa
+
+        group = group.sort_by("date_key")
+        r = group.column(residual).to_pandas().astype(float)
+        past = r.rolling(width, min_periods=1)
+        q = {k: past.quantile(k).shift(1) for k in (0.25, 0.5, 0.75)}
+        known = past.count().shift(1) >= least
+        scale = ((q[0.75] - q[0.25]) / 1.349).clip(lower=floor)
+        for name, v in (("center", q[0.5]), ("scale", scale), ("score", (r - q[0.5]).abs() / scale)):
+            group = group.append_column(name, pa.array(v.where(known), pa.float64(), from_pandas=True))
+        return group
+
+    return rows.groupBy("product_id").applyInArrow(one, schema)
 
 
 def days_since(df: DataFrame, flag: Column, name: str, w=None) -> DataFrame:

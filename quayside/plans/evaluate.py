@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quayside.functions.quantiles import exact_quantiles
 from quayside.functions.scalar import finite, scored, stratum
 
-#: Weights of the validation strata in the test-aligned score.
-STRATA = {"regular": 0.60, "holiday": 0.25, "winter": 0.15}
+#: Weights of the validation strata in the test-aligned score.
+STRATA = {"winter": 0.60, "regular": 0.25, "holiday": 0.15}
 
 
 def long_form(oof: DataFrame, models: list[str]) -> DataFrame:
@@ -19,7 +20,7 @@ def long_form(oof: DataFrame, models: list[str]) -> DataFrame:
 
 
 def metrics(actual: str = "actual", pred: str = "pred") -> list[Column]:
-    """MAE, RMSE, MAPE (by at least 1), WAPE, sMAPE, RMSLE, bias, bias ratio and n over rows with both numbers."""
+    """MAE, RMSE, MAPE (per cent, by at least 1), WAPE, sMAPE, RMSLE, bias, bias ratio and n over rows with both numbers."""
     y, p = F.col(actual), F.col(pred)
     ok = finite(y).isNotNull() & finite(p).isNotNull()
     of = lambda e: F.when(ok, e)
@@ -29,7 +30,7 @@ def metrics(actual: str = "actual", pred: str = "pred") -> list[Column]:
         F.count(of(y)).alias("n"),
         F.avg(of(err)).alias("mae"),
         F.sqrt(F.avg(of((p - y) * (p - y)))).alias("rmse"),
-        F.avg(of(err / F.greatest(y, F.lit(1.0)))).alias("mape"),
+        (100 * F.avg(of(err / F.greatest(y, F.lit(1.0))))).alias("mape"),
         F.when(volume > 0, F.sum(of(err)) / volume).alias("wape"),
         F.avg(of(2 * err / (F.abs(y) + F.abs(p) + 1e-8))).alias("smape"),
         F.sqrt(F.avg(of(F.pow(F.log1p(F.greatest(p, F.lit(0.0))) - F.log1p(F.greatest(y, F.lit(0.0))), F.lit(2.0))))).alias("rmsle"),
@@ -40,7 +41,8 @@ def metrics(actual: str = "actual", pred: str = "pred") -> list[Column]:
 
 def summary(long: DataFrame, keys: list[str] = ()) -> DataFrame:
     """Scores by model and keys: realized (all rows) and conditional (available), each over the common and the
-    model's own population, pooled ('global') and averaged over origins ('mean_fold')."""
+    model's own population, pooled ('global') and averaged over origins ('mean_fold'). Beside them rows expected, with an
+    actual, with a prediction, scored (both), and the share of the rows with an actual that are scored."""
     masks = F.array(
         F.struct(F.lit("realized").alias("regime"), F.lit("model_specific").alias("population"), F.lit(True).alias("ok")),
         F.struct(F.lit("realized").alias("regime"), F.lit("common").alias("population"), F.col("common").alias("ok")),
@@ -49,16 +51,36 @@ def summary(long: DataFrame, keys: list[str] = ()) -> DataFrame:
     )
     rows = long.withColumn("m", F.explode(masks)).where("m.ok").withColumns({"regime": F.col("m.regime"), "population": F.col("m.population")})
     by = ["model", *keys, "regime", "population"]
-    pooled = rows.groupBy(*by).agg(*metrics()).withColumn("aggregation", F.lit("global"))
+    counts = [F.count(F.lit(1)).alias("expected"), F.count(finite(F.col("actual"))).alias("with_actual"), F.count(finite(F.col("pred"))).alias("with_pred")]
+    pooled = rows.groupBy(*by).agg(*metrics(), *counts).withColumn("aggregation", F.lit("global"))
     names = ["mae", "rmse", "mape", "wape", "smape", "rmsle", "bias", "bias_ratio"]
-    folds = rows.groupBy(*by, "origin").agg(*metrics())
-    mean = folds.groupBy(*by).agg(F.sum("n").alias("n"), *[F.avg(c).alias(c) for c in names]).withColumn("aggregation", F.lit("mean_fold"))
-    return pooled.unionByName(mean)
+    folds = rows.groupBy(*by, "origin").agg(*metrics(), *counts)
+    totals = ["n", "expected", "with_actual", "with_pred"]
+    mean = folds.groupBy(*by).agg(*[F.sum(c).alias(c) for c in totals], *[F.avg(c).alias(c) for c in names]).withColumn("aggregation", F.lit("mean_fold"))
+    return pooled.unionByName(mean).withColumn("coverage", F.col("n") / F.nullif("with_actual", F.lit(0)))
+
+
+def supported(long: DataFrame, support: DataFrame) -> DataFrame:
+    """Only the predictions of the models and strategies that `support` (model, strategy) lists."""
+    return long.join(support.select("model", "strategy").distinct(), ["model", "strategy"], "left_semi")
+
+
+#: Models in the order of reports: the learned ones first, then the naive ones; others after them by name.
+DISPLAY = ("ridge", "huber", "factor", "trees_a", "trees_b", "tweedie", "ensemble", "baseline", "seasonal_naive", "moving_avg")
+
+
+def in_display_order(rows: DataFrame, column: str = "model") -> DataFrame:
+    """rows with `place` from 1, by the order of DISPLAY, then by name. A row a model."""
+    known = F.array_position(F.array(*map(F.lit, DISPLAY)), F.col(column))
+    key = F.struct(F.when(known > 0, known).otherwise(len(DISPLAY) + 1), F.col(column))
+    return rows.withColumn("one", F.lit(0)).withColumn("place", F.dense_rank().over(Window.partitionBy("one").orderBy(key))).drop("one")
 
 
 def fold_table(long: DataFrame) -> DataFrame:
-    """Scores per model and origin; fold 1 is the latest origin."""
-    return long.groupBy("model", "origin").agg(*metrics()).withColumn("fold", F.dense_rank().over(Window.partitionBy("model").orderBy(F.desc("origin"))))
+    """Scores per model, origin and regime (all rows, available rows); fold 1 is the latest origin."""
+    regimes = F.when(F.coalesce("available", F.lit(False)), F.array(F.lit("realized"), F.lit("conditional"))).otherwise(F.array(F.lit("realized")))
+    rows = long.withColumn("regime", F.explode(regimes)).groupBy("model", "origin", "regime").agg(*metrics())
+    return rows.withColumn("fold", F.dense_rank().over(Window.partitionBy("model", "regime").orderBy(F.desc("origin"))))
 
 
 def test_aligned(long: DataFrame) -> DataFrame:
@@ -70,8 +92,9 @@ def test_aligned(long: DataFrame) -> DataFrame:
 
 def top_decile(long: DataFrame) -> DataFrame:
     """Scores over the rows whose actual is in the top tenth."""
-    limit = long.where("common").agg(F.percentile("actual", F.lit(0.9)).alias("limit"))
-    return long.where("common").crossJoin(F.broadcast(limit)).where("actual >= limit").groupBy("model").agg(*metrics(), F.first("limit").alias("threshold"))
+    common = long.where("common")
+    limit = exact_quantiles(common, "actual", {"limit": 0.9})
+    return common.crossJoin(F.broadcast(limit)).where("actual >= limit").groupBy("model").agg(*metrics(), F.first("limit").alias("threshold"))  # one row
 
 
 def cube(long: DataFrame) -> DataFrame:

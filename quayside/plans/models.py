@@ -13,6 +13,9 @@ from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, Lin
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quayside.functions.quantiles import exact_quantiles
+from quayside.functions.scalar import finite
+
 NUMERIC = ["lag_0", "target_baseline", "annual", "season_7", "season_14", "season_21", "season_28"]
 CATEGORIES = ["horizon", "weekday", "month"]
 
@@ -26,6 +29,20 @@ def features(panel: DataFrame) -> DataFrame:
     })
 
 
+def seed_mean(predictions: list) -> dict:
+    """pred: the mean over the finite predictions, at least 0 (null without any); the raw extremes; whether any was not finite."""
+    a = F.array_compact(F.array(*[finite(p) for p in predictions]))
+    mean = F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.nullif(F.size(a), F.lit(0))
+    return {"pred": F.when(mean.isNotNull(), F.greatest(mean, F.lit(0.0))), "raw_min": F.array_min(a), "raw_max": F.array_max(a), "any_nonfinite": F.size(a) < len(predictions)}
+
+
+def residual_bounds(panel: DataFrame, low: float = 0.001, high: float = 0.999, slack: float = 1.0) -> DataFrame:
+    """One row: lower and upper bound of log residuals, from the training rows' quantiles, widened by slack."""
+    rows = panel.select((F.log1p("target") - F.log1p("target_baseline")).alias("residual"))
+    q = exact_quantiles(rows, "residual", {"low": low, "high": high})
+    return q.select((F.col("low") - slack).alias("lower"), (F.col("high") + slack).alias("upper"))
+
+
 def _numeric() -> list:
     """Median imputation and standard scaling."""
     names = [f"x_{c}" for c in NUMERIC]
@@ -58,8 +75,8 @@ def fit_predict(train: DataFrame, rows: DataFrame, kind: str, trees: int = 400,
     The training rows stay in executors' memory and disk while fits pass over them. ValueError without any."""
     known = features(train).where("target is not null and target_baseline is not null and sample_weight is not null").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        low, high = known.agg(F.percentile("label", F.array(F.lit(0.001), F.lit(0.999))).alias("q")).first().q or (None, None)
-        if low is None:
+        lower, upper = residual_bounds(known).first()
+        if lower is None:
             raise ValueError("no training rows")
         prepared = Pipeline(stages=_numeric()).fit(known)
         ready = prepared.transform(known)
@@ -69,6 +86,7 @@ def fit_predict(train: DataFrame, rows: DataFrame, kind: str, trees: int = 400,
     out = prepared.transform(features(rows))
     for model in fitted:
         out = model.transform(out)
-    mean = sum((F.col(f"p_{s}") for s in seeds[1:]), F.col(f"p_{seeds[0]}")) / len(seeds)
-    back = mean if kind == "tweedie" else F.expm1(F.log1p("target_baseline") + F.least(F.greatest(mean, F.lit(low - 1)), F.lit(high + 1)))
+    each = F.array_compact(F.array(*[finite(F.col(f"p_{s}")) for s in seeds]))
+    mean = F.aggregate(each, F.lit(0.0), lambda s, x: s + x) / F.nullif(F.size(each), F.lit(0))
+    back = mean if kind == "tweedie" else F.expm1(F.log1p("target_baseline") + F.least(F.greatest(mean, F.lit(lower)), F.lit(upper)))
     return out.select(*rows.columns, F.greatest(back, F.lit(0.0)).alias("pred"))
