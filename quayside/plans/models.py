@@ -9,12 +9,13 @@ from __future__ import annotations
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, LinearRegression
+from pyspark.ml.regression import FMRegressor, GBTRegressor, GeneralizedLinearRegression, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quayside.functions.quantiles import exact_quantiles
-from quayside.functions.scalar import finite
+from quayside.functions.scalar import app_share, finite
+from quayside.plans.direct import align, direct_panel, recency_weights, trainable
 
 NUMERIC = ["lag_0", "target_baseline", "annual", "season_7", "season_14", "season_21", "season_28"]
 CATEGORIES = ["horizon", "weekday", "month"]
@@ -55,10 +56,25 @@ def _numeric() -> list:
     ]
 
 
-def regressor(kind: str, seed: int = 42, trees: int = 400):
-    """ridge, huber, trees_a (shallow), trees_b (fine), tweedie."""
+#: Weight of the ridge's penalty against the sum of squared errors.
+ALPHA = 10.0
+
+
+def ridge_penalty(train: DataFrame, alpha: float = ALPHA) -> float:
+    """regParam that gives a ridge of `alpha` on the sum of weighted squared errors: the fit divides by the weights' sum and
+    by the label's weighted deviation."""
+    w, y = F.col("sample_weight"), F.col("label")
+    r = train.agg(F.sum(w).alias("w"), F.sum(w * y).alias("wy"), F.sum(w * y * y).alias("wyy")).first()
+    mean = r.wy / r.w
+    return alpha / r.w * max(r.wyy / r.w - mean * mean, 0.0) ** 0.5
+
+
+def regressor(kind: str, seed: int = 42, trees: int = 400, penalty: float = 0.01):
+    """ridge, huber, factor (factorisation machine), trees_a (shallow), trees_b (fine), tweedie."""
     if kind == "ridge":
-        return LinearRegression(elasticNetParam=0.0, regParam=0.01, solver="normal", weightCol="sample_weight")
+        return LinearRegression(elasticNetParam=0.0, regParam=penalty, standardization=False, solver="normal", weightCol="sample_weight")
+    if kind == "factor":
+        return FMRegressor(factorSize=12, maxIter=60, stepSize=0.02, regParam=0.001, seed=seed)
     if kind == "huber":
         return LinearRegression(loss="huber", weightCol="sample_weight")
     if kind == "trees_a":
@@ -70,6 +86,47 @@ def regressor(kind: str, seed: int = 42, trees: int = 400):
     raise ValueError(f"no such model: {kind}")
 
 
+def _drawn(rows: DataFrame, seed: int) -> DataFrame:
+    """Rows repeated by a Poisson(weight) number from a hash of their key and the seed, for models that take no weights."""
+    u = (F.pmod(F.xxhash64(F.lit(seed), "product_id", "target_date", "horizon"), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    w, below, times = F.col("sample_weight"), F.exp(-F.col("sample_weight")), F.lit(0)
+    total = below
+    for k in range(1, 9):
+        times = times + (u > total).cast("int")
+        below = below * w / k
+        total = total + below
+    return rows.withColumn("__times", times).withColumn("__i", F.explode(F.sequence(F.lit(0), F.col("__times")))).where(F.col("__i") > 0).drop("__times", "__i")
+
+
+def fit_share(train: DataFrame, rows: DataFrame) -> DataFrame:
+    """`rows` with `share`, the app's share of the target: a logistic model of the smoothed share, weighted by volume."""
+    share, known = app_share(F.col("target_app"), F.col("target"))
+    own = features(train).withColumns({"share_label": share, "known": known, "volume": F.greatest("target", F.lit(0.0)) + 1e-6}).where("known")
+    prepared = Pipeline(stages=_numeric()).fit(own)
+    model = GeneralizedLinearRegression(family="binomial", link="logit", labelCol="share_label", weightCol="volume", predictionCol="share", regParam=0.01, maxIter=30).fit(prepared.transform(own))
+    return model.transform(prepared.transform(features(rows))).select(*rows.columns, "share")
+
+
+def walk_forward(panel: DataFrame, origins: list[str], kind: str, half_life: float = 365.0, trees: int = 400, seeds: tuple[int, ...] = (42,)) -> DataFrame:
+    """Out-of-fold rows of every origin: fitted on the rows whose target was known by then, predicting the week after it.
+    One fit an origin."""
+    out = None
+    for o in origins:
+        train = recency_weights(trainable(panel, o), o, half_life)
+        held = panel.where(F.col("origin") == F.lit(o).cast("date"))
+        one = fit_predict(train, held, kind, trees, seeds).withColumnRenamed("target", "actual")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def final_forecast(state: DataFrame, future: DataFrame, kind: str, half_life: float = 365.0, trees: int = 400, seeds: tuple[int, ...] = (42,)) -> DataFrame:
+    """product_id, target_date, horizon, pred on the keys of `future`: fitted on all known rows, at each product's last day."""
+    last = state.agg(F.max("date_key")).first()[0]
+    train = recency_weights(trainable(direct_panel(state), str(last)), str(last), half_life)
+    made = fit_predict(train, direct_panel(state, 7, future, at_last=True), kind, trees, seeds)
+    return align(made.select("product_id", "target_date", "horizon", "pred"), future.select("product_id", F.col("date_key").alias("target_date")), ["product_id", "target_date"])
+
+
 def fit_predict(train: DataFrame, rows: DataFrame, kind: str, trees: int = 400, seeds: tuple[int, ...] = (42,)) -> DataFrame:
     """`rows` (a direct panel) with `pred`, learned from `train` (a direct panel with sample_weight); seeds are averaged.
     The training rows stay in executors' memory and disk while fits pass over them. ValueError without any."""
@@ -80,7 +137,8 @@ def fit_predict(train: DataFrame, rows: DataFrame, kind: str, trees: int = 400,
             raise ValueError("no training rows")
         prepared = Pipeline(stages=_numeric()).fit(known)
         ready = prepared.transform(known)
-        fitted = [regressor(kind, seed, trees).fit(ready).setPredictionCol(f"p_{seed}") for seed in seeds]
+        penalty = ridge_penalty(ready) if kind == "ridge" else 0.0
+        fitted = [regressor(kind, seed, trees, penalty).fit(_drawn(ready, seed) if kind == "factor" else ready).setPredictionCol(f"p_{seed}") for seed in seeds]
     finally:
         known.unpersist()
     out = prepared.transform(features(rows))

@@ -65,3 +65,9 @@ def boundary(rows: DataFrame, benchmark: str, columns: list[str]) -> DataFrame:
     before = rows.where(F.col("date_key") < F.lit(benchmark).cast("date"))
     span = rows.agg(F.min("date_key").alias("first"), F.max(F.when(F.col("date_key") < F.lit(benchmark).cast("date"), F.col("date_key"))).alias("last"), F.count_if(F.col("date_key") >= F.lit(benchmark).cast("date")).alias("left_out"))
     return span.crossJoin(F.broadcast(fingerprint(before, columns)))
+
+
+def write_tables(tables: dict[str, DataFrame], path: str) -> None:
+    """Report tables as CSV with a header, a folder each. They have a row per model, origin or the like: one file each."""
+    for name, df in tables.items():
+        df.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/{name}")
