@@ -106,6 +106,18 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
 
+_OP8 = """
+WITH RECURSIVE every AS (SELECT row_number() OVER () AS row_, vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+fit AS (SELECT * FROM every WHERE v IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+link AS (SELECT a.row_ AS a, b.row_ AS b FROM fit a JOIN fit b ON a.row_ <> b.row_ AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+reach(a, b) AS (SELECT row_, row_ FROM fit UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b),
+comp AS (SELECT reach.a AS row_, min(fit.vec_id) AS component_id FROM reach JOIN fit ON fit.row_ = reach.b GROUP BY reach.a),
+deg AS (SELECT a AS row_, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(component_id, vec_id) AS component_id, vec_id IS NOT DISTINCT FROM coalesce(component_id, vec_id) AS kept
+FROM every LEFT JOIN comp USING (row_) LEFT JOIN deg USING (row_)
+"""
+
+
 def queries() -> dict:
     return {
         "op1_bpe": op1_bpe,
@@ -123,4 +135,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat": _OP3, "op7_topk": _OP7}
+    return {"op3_chat": _OP3, "op7_topk": _OP7, "op8_embedding_dedup": _OP8}
