@@ -21,9 +21,11 @@ def session(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where none is set (tests)."""
+    """The folder of spark.checkpoint.dir; one of our own only where none is set and all runs on one machine (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: it must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="quayside-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
