@@ -7,7 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch: texts can be long, so batches stay small.
@@ -39,6 +39,20 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_piles(rows: DataFrame, n_bytes: str, most: int):
+    """rows as Arrow tables of about `most` bytes each (column n_bytes; a larger row alone may exceed it), one after
+    another: what a driver can hold and send to all tasks however many rows there are."""
+    kept = written(rows)
+    total = kept.agg(F.coalesce(F.sum(n_bytes), F.lit(0))).first()[0]
+    piles = max(1, -(-int(total) // most))
+    if piles > 1:
+        kept = written(kept.withColumn("__pile", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(piles))).repartitionByRange("__pile"))
+    for i in range(piles):
+        own = (kept.where(F.col("__pile") == i).drop("__pile") if piles > 1 else kept).toArrow()
+        if own.num_rows:
+            yield own
+
+
 def utf8(column: Column | str) -> Column:
     """A text's UTF-8 bytes; null counts as the empty text."""
     return F.encode(F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit("")), "UTF-8")
@@ -87,3 +101,34 @@ def block_pairs(members: DataFrame, key: str, size: str, per: int) -> DataFrame:
 def bounds(key: np.ndarray):
     b = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
     return zip(b[:-1].tolist(), b[1:].tolist())
+
+
+class Best:
+    """The k best rows so far, to which more are added in any order: highest score first, then by id, null ids last.
+    Scores under `floor` don't count."""
+
+    def __init__(self, k: int, floor: int = -(1 << 63)):
+        self.k, self.floor = k, floor
+        self.score, self.ids, self.null = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+
+    @property
+    def least(self) -> int:
+        """What a score must have to get in (with a small enough id)."""
+        return int(self.score[-1]) if len(self.score) == self.k else self.floor
+
+    def add(self, score: np.ndarray, ids: np.ndarray, null: np.ndarray | None = None) -> None:
+        some = score >= self.least
+        if some.any():
+            null = np.zeros(len(ids), bool) if null is None else null
+            score, ids, null = (np.concatenate([a, b[some]]) for a, b in ((self.score, score), (self.ids, ids), (self.null, null)))
+            by = np.lexsort((ids, null, -score))[: self.k]
+            self.score, self.ids, self.null = score[by], ids[by], null[by]
+
+
+def best_rows(rows: DataFrame, keys: list[str], tie: str, k: int) -> DataFrame:
+    """rows with `rank`, the k of highest score of each key, ties to the smaller `tie`, nulls last. They are cut to k in 64
+    parts first, so that no key's window grows with the tasks that sent rows."""
+    order = [F.desc("score"), F.col(tie).asc_nulls_last()]
+    parts = rows.withColumn("__part", F.pmod(F.xxhash64(tie, "score"), F.lit(64)))
+    few = parts.withColumn("rank", F.row_number().over(Window.partitionBy(*keys, "__part").orderBy(*order))).where(F.col("rank") <= k).drop("__part")
+    return few.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k)

@@ -141,14 +141,14 @@ def wide_top(ids, values, query_ids, queries, k):
     return tuple(np.array([x[c] for x in out], np.int64) for c in range(3))
 
 
-def quantised(vectors: DataFrame, scale: int = 1024) -> DataFrame:
+def quantised(vectors: DataFrame, scale: int = 1024, *more: str) -> DataFrame:
     """vec_id, v: floor(scale * component) of the vectors that take part, as whole doubles (a power of two as the scale
-    only moves the exponent; what overflows is the largest double)."""
+    only moves the exponent; what overflows is the largest double), and the columns `more`."""
     top = F.lit(1.7976931348623157e308)
     held = lambda x: F.least(F.greatest(F.lit(float(scale)) * x.cast("double"), -top), top)
     v = F.transform("embedding", lambda x: F.when(F.abs(held(x)) < 2.0**53, F.floor(held(x)).cast("double")).otherwise(held(x)))
     kept = vectors.where(whole("embedding") & F.col("vec_id").isNotNull())
-    return kept.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
+    return kept.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"), *more)
 
 
 def _dealt(df: DataFrame, per: int) -> tuple[DataFrame, int]:
