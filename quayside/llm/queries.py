@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.llm import bpe, chat, embed_dedup, hard_negatives, lexical, licenses, lm, packing, simhash, suffix_dedup, topk, toxicity
+from quayside.llm import bpe, chat, embed_dedup, hard_negatives, lexical, licenses, lm, packing, quality, simhash, suffix_dedup, topk, toxicity
 from quayside.llm._util import fold_of
 
 
@@ -74,6 +74,11 @@ def op11_lexical(spark, sf_dir):
     return lexical.rank(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op12_quality(spark, sf_dir):
+    out = quality.judge(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op13_hard_negatives(spark, sf_dir):
     rows = _read(spark, sf_dir, "embeddings")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -178,6 +183,7 @@ def queries() -> dict:
         "op9_licenses": op9_licenses,
         "op10_suffix_dedup": op10_suffix_dedup,
         "op11_lexical": op11_lexical,
+        "op12_quality": op12_quality,
         "op13_hard_negatives": op13_hard_negatives,
         "pipeline": pipeline,
     }
