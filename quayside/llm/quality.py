@@ -198,7 +198,7 @@ def _discount(i: int):
 
 def probabilities(grams: DataFrame) -> list[DataFrame]:
     """By order from 0 (no byte) on: key, p (interpolated probability of the last byte after the others), and gamma (the shorter
-    context's weight after this n-gram as context; null where nothing ever follows). grams: key, c of the longest."""
+    context's weight after this n-gram as context; null where nothing ever follows; p is null where nothing ever precedes). grams: key, c of the longest."""
     counts = {ORDER: grams}
     for k in range(ORDER - 1, 0, -1):  # continuation counts: different bytes before an n-gram
         counts[k] = written(counts[k + 1].groupBy(_low(F.col("key"), k).alias("key")).agg(F.count("*").alias("c")))
@@ -224,7 +224,7 @@ def probabilities(grams: DataFrame) -> list[DataFrame]:
             rows = rows.withColumn("low", _low(F.col("key"), k - 1)).join(lower, "low").select("key", (F.col("main") + F.col("gamma") * F.col("q")).alias("p"))
         out.append(written(rows))
     none = gammas[0].select("key", F.lit(1 / 256).alias("p"), "gamma")
-    return [none, *[rows.join(gammas[k], "key", "left") for k, rows in enumerate(out[:-1], 1)], out[-1].withColumn("gamma", F.lit(None).cast("double"))]
+    return [none, *[rows.join(gammas[k], "key", "full") for k, rows in enumerate(out[:-1], 1)], out[-1].withColumn("gamma", F.lit(None).cast("double"))]
 
 
 MODEL = pa.schema([("order", pa.int32()), ("bucket", pa.int64()), ("keys", pa.binary()), ("p", pa.binary()), ("gamma", pa.binary())])
