@@ -4,17 +4,20 @@ The model is a modified Kneser-Ney model of each language over the bytes of its
 between them): ORDER bytes at most, counted by Spark over all rows. An n-gram's key is its language's 24 hash bits and
 its bytes, under an invertible mixing, so that keys are spread evenly and no two n-grams of a language share one. Counts
 of shorter n-grams are continuation counts; each order has three discounts from its counts of counts, and an n-gram's
-probability is interpolated down to the even distribution over bytes. The model is stored in buckets of a key's first
-bits, each with sorted arrays of keys, log probabilities and backoff weights.
+probability is interpolated down to the even distribution over bytes; n-grams that were never seen back off. The
+model is stored in buckets of a hash's first bits, each with sorted arrays of hashes and log probabilities.
 
 Texts are written in blocks of bounded size with their distinct n-grams. A block asks each bucket for the keys it has
-there and gets back probabilities; n-grams that were never seen back off. So nobody holds the model, and what travels is
-a block's distinct n-grams. A document's perplexity is that of its bytes. Each language has a band around its median
-log perplexity, both sides in robust deviations of the documents below and above it; documents outside are rejected.
+there and gets back probabilities, so nobody holds the model, and what travels is a block's distinct n-grams. The blocks
+themselves are written bucketed by their number and stay where they are. A document's perplexity is that of its bytes.
+Each language has a band around its median log perplexity, both sides in robust deviations of the documents below and
+above it; documents outside are rejected.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -22,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quayside.llm._util import session, table, utf8, written
+from quayside.llm._util import session, shared_dir, table, utf8, written
 
 #: Bytes of the longest n-gram; text bytes of a block; n-grams that a task adds up before it passes them on; n-grams of a
 #: bucket; blocks that ask a copy of a bucket.
@@ -81,9 +84,8 @@ def text_bytes(raw: bytes) -> bytes:
     return b" " * (ORDER - 1) + b" ".join(raw.lower().split()) + b" "
 
 
-def _keys(texts: list[bytes], langs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The keys of all n-grams of ORDER bytes, text by text, and how many each text has."""
-    read = [text_bytes(t) for t in texts]
+def _keys(read: list[bytes], langs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of all n-grams of ORDER bytes, text by text, and how many each text has. read: text_bytes of the texts."""
     sizes = np.array([len(t) - ORDER + 1 for t in read], np.int64)
     a = np.frombuffer(b"".join(read), np.uint8)
     key = np.zeros(len(a), np.uint64)
@@ -105,6 +107,9 @@ def _unpacked(b: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
+#: Steps of log10 probabilities that travel: a byte's is right to half a step, a text's mean to far less.
+FINE = 4096.0
+
 BLOCKS = pa.schema([
     ("block", pa.int64()), ("rows", pa.list_(pa.struct([("doc_id", pa.int64()), ("lang", pa.string()), ("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64())]))),
     ("texts", pa.binary()), ("sizes", pa.list_(pa.int64())), ("langs", pa.list_(pa.int32())), ("keys", pa.binary()), ("counts", pa.binary()),
@@ -114,19 +119,20 @@ _MEASURES = [f.name for f in BLOCKS.field("rows").type.value_type]
 
 
 def _blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
-    """Rows as they lie, up to block_bytes of text together (a longer text alone): their measures, texts, distinct keys
-    (mixed, ascending) and how often each occurs."""
+    """Rows as they lie, up to block_bytes of text together (a longer text alone): their measures, what the model reads
+    of them, distinct keys (ascending) and how often each occurs. Written bucketed by block, so that later steps that
+    need the texts don't move them."""
 
     def run(batches):
         part, k, held, size = TaskContext.get().partitionId(), 0, [], 0
 
         def block():
-            texts = [r[2] for r in held]
+            texts = [text_bytes(r[2]) for r in held]
             langs = np.array([r[3] for r in held], np.int32)
-            keys, _ = _keys(texts, langs)
-            keys, counts = np.unique(mixed(keys), return_counts=True)
+            keys, counts = np.unique(_keys(texts, langs)[0], return_counts=True)
             rows = [dict(zip(_MEASURES, (r[0], r[1], *measures(r[2])))) for r in held]
-            return table(BLOCKS, [part << 32 | k], [rows], [zstandard.compress(b"".join(texts), 3)], [[len(t) for t in texts]], [langs], [_packed(keys)], [zstandard.compress(counts.astype(np.uint32).tobytes(), 1)])
+            pressed = zstandard.compress(b"".join(texts), 6)
+            return table(BLOCKS, [part << 32 | k], [rows], [pressed], [[len(t) for t in texts]], [langs], [_packed(keys)], [zstandard.compress(counts.astype(np.uint32).tobytes(), 1)])
 
         for b in batches:
             for r in zip(*(b.column(c).to_pylist() for c in ("doc_id", "lang", "bytes", "code"))):
@@ -138,9 +144,15 @@ def _blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
         if held:
             yield block()
 
+    spark = docs.sparkSession
     code = F.shiftrightunsigned(F.xxhash64(F.coalesce("lang", F.lit(""))), 40).cast("int")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), utf8("text").alias("bytes"), code.alias("code"))
-    return written(rows.mapInArrow(run, _BLOCKS))
+    name = f"quayside_{uuid.uuid4().hex}"
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows.mapInArrow(run, _BLOCKS).write.bucketBy(buckets, "block").option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd").saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name only: the files stay, as they have a path of their own
+    return out
 
 
 def _counts(blocks: DataFrame) -> DataFrame:
@@ -155,7 +167,7 @@ def _counts(blocks: DataFrame) -> DataFrame:
         return keys[first], np.add.reduceat(counts, first)
 
     def out(keys, counts):
-        keys = plain(keys).view(np.int64)
+        keys = keys.view(np.int64)
         for i in range(0, len(keys), 100_000):
             yield table(schema, keys[i : i + 100_000], counts[i : i + 100_000])
 
@@ -227,102 +239,77 @@ def probabilities(grams: DataFrame) -> list[DataFrame]:
     return [none, *[rows.join(gammas[k], "key", "full") for k, rows in enumerate(out[:-1], 1)], out[-1].withColumn("gamma", F.lit(None).cast("double"))]
 
 
-MODEL = pa.schema([("order", pa.int32()), ("bucket", pa.int64()), ("keys", pa.binary()), ("p", pa.binary()), ("gamma", pa.binary())])
+def backed_off(keys: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """key, p of n-grams of ORDER bytes that the model may not have: of the longest ending that it has, times the weights
+    of the longer contexts."""
+    out = keys.select("key").distinct().withColumn("p", F.lit(1 / 256))
+    for k in range(1, ORDER + 1):
+        own = levels[k].select(F.col("key").alias("gram"), F.col("p").alias("seen"))
+        before = levels[k - 1].select(F.col("key").alias("context"), "gamma")
+        out = out.withColumns({"gram": _low(F.col("key"), k)}).withColumn("context", _context(F.col("gram")))
+        out = out.join(own, "gram", "left").join(before, "context", "left")
+        out = written(out.select("key", F.coalesce("seen", F.col("p") * F.coalesce("gamma", F.lit(1.0))).alias("p")))
+    return out
+
+
+MODEL = pa.schema([("bucket", pa.int64()), ("hashes", pa.binary()), ("p", pa.binary())])
+
+
+def _bucket(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
 
 
-def model(grams: DataFrame) -> tuple[DataFrame, int]:
-    """The model in buckets of sorted arrays (log10 of probabilities and weights), and the bits of a bucket's number."""
-    parts = [df.select(F.lit(k).alias("order"), "key", F.log10("p").cast("float").alias("p"), F.coalesce(F.log10(F.when(F.col("gamma") > 0, F.col("gamma"))), F.lit(0.0)).cast("float").alias("gamma")) for k, df in enumerate(probabilities(grams))]
-    rows = parts[0]
-    for x in parts[1:]:
-        rows = rows.unionByName(x)
-    rows = written(rows)
-    bits = max(0, -(-rows.count() // BUCKET) - 1).bit_length()
+def stored(grams: DataFrame) -> tuple[DataFrame, int]:
+    """Probabilities (key, p) in buckets of sorted hash arrays with log10 p, and the bits of a bucket's number."""
+    bits = max(0, -(-grams.count() // BUCKET) - 1).bit_length()
+    schema = pa.schema([("bucket", pa.int64()), ("hash", pa.int64()), ("p", pa.float32())])
 
     def hashed(batches):
-        schema = pa.schema([("order", pa.int32()), ("bucket", pa.int64()), ("h", pa.int64()), ("p", pa.float32()), ("gamma", pa.float32())])
         for b in batches:
             h = mixed(np.asarray(b.column("key")).view(np.uint64))
-            bucket = (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
-            yield table(schema, b.column("order"), bucket, h.view(np.int64), b.column("p"), b.column("gamma"))
+            yield table(schema, _bucket(h, bits), h.view(np.int64), b.column("p"))
 
     def build(group: pa.Table) -> pa.Table:
-        h = np.asarray(group.column("h")).view(np.uint64)
+        h = np.asarray(group.column("hash")).view(np.uint64)
         by = np.argsort(h)
-        p, gamma = (np.asarray(group.column(c), np.float32)[by].tobytes() for c in ("p", "gamma"))
-        return pa.Table.from_batches([table(MODEL, [group.column("order")[0].as_py()], [group.column("bucket")[0].as_py()], [_packed(h[by])], [p], [gamma])])
-
-    dealt = rows.mapInArrow(hashed, "order int, bucket long, h long, p float, gamma float")
-    return written(dealt.groupBy("order", "bucket").applyInArrow(build, "order int, bucket long, keys binary, p binary, gamma binary")), bits
-
-
-def _orders(keys: np.ndarray) -> list[np.ndarray]:
-    """A block's distinct n-grams of each order from 0 on, and contexts, as mixed keys, ascending. keys: mixed, of ORDER bytes."""
-    own, lang = plain(keys), np.uint64(((1 << 24) - 1) << 40)
-    out = [keys]
-    for k in range(ORDER - 1, 0, -1):
-        low = own & np.uint64((1 << 8 * k) - 1)
-        # shorter n-grams as suffixes, and as contexts of those that are one longer
-        before = (own & np.uint64((1 << 8 * (k + 1)) - 1)) >> np.uint64(8)
-        out.append(np.sort(mixed(np.unique(np.concatenate([low | (own & lang), before | (own & lang)])))))
-    return [np.sort(mixed(np.unique(own & lang))), *out[::-1]]
+        return pa.Table.from_batches([table(MODEL, [group.column("bucket")[0].as_py()], [h[by].tobytes()], [np.asarray(group.column("p"))[by].tobytes()])])
 
+    dealt = grams.select("key", F.log10("p").cast("float").alias("p")).mapInArrow(hashed, "bucket long, hash long, p float")
+    return written(dealt.groupBy("bucket").applyInArrow(build, "bucket long, hashes binary, p binary")), bits
 
-_ASKED = pa.schema([("order", pa.int32()), ("bucket", pa.int64()), ("part", pa.int32()), ("block", pa.int64()), ("first", pa.int64()), ("keys", pa.binary())])
-_TOLD = pa.schema([("block", pa.int64()), ("order", pa.int32()), ("first", pa.int64()), ("p", pa.binary()), ("gamma", pa.binary())])
 
-
-def _log_p(keys: np.ndarray, orders: list[np.ndarray], p: list[np.ndarray], gamma: list[np.ndarray]) -> np.ndarray:
-    """log10 probability of each n-gram's last byte: of the longest seen n-gram, plus the weights of the longer contexts.
-    Unseen (nan) probabilities back off; unseen contexts weigh nothing."""
-    own, lang = plain(keys), np.uint64(((1 << 24) - 1) << 40)
-    out = np.full(len(own), -np.log10(256.0))
-    for k in range(1, ORDER + 1):
-        gram = own & np.uint64((1 << 8 * k) - 1)
-        seen = p[k][np.searchsorted(orders[k], mixed(gram | (own & lang)))]
-        weight = gamma[k - 1][np.searchsorted(orders[k - 1], mixed((gram >> np.uint64(8)) | (own & lang)))]
-        out = np.where(np.isnan(seen), out + np.where(np.isnan(weight), 0.0, weight), seen)
-    return out
+_ASKED = pa.schema([("bucket", pa.int64()), ("part", pa.int32()), ("block", pa.int64()), ("keys", pa.binary())])
+_TOLD = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("p", pa.binary())])
 
 
 def perplexities(blocks: DataFrame, grams: DataFrame) -> DataFrame:
-    """doc_id, lang, the measures, and log_perplexity (log10, by byte) of every row of the blocks."""
-    arrays, bits = model(grams)
+    """doc_id, lang, the measures, and log_perplexity (log10, by byte) of every row of the blocks. grams: key, p of all
+    their n-grams."""
+    arrays, bits = stored(grams)
     parts = max(1, -(-blocks.count() // ASKING))
 
     def ask(batches):
         for b in batches:
             for block, packed in zip(b.column("block").to_pylist(), b.column("keys").to_pylist()):
-                for k, keys in enumerate(_orders(_unpacked(packed))):
-                    bucket = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
-                    edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]).tolist() if len(keys) else []
-                    own = list(zip(edge[:-1], edge[1:]))
-                    yield table(_ASKED, [k] * len(own), [int(bucket[a]) for a, _ in own], [block % parts] * len(own), [block] * len(own), [a for a, _ in own], [_packed(keys[a:z]) for a, z in own])
+                keys = _unpacked(packed)
+                bucket = _bucket(mixed(keys), bits)
+                for i in np.unique(bucket).tolist():
+                    yield table(_ASKED, [i], [block % parts], [block], [_packed(keys[bucket == i])])
 
     def tell(held: pa.Table, asks: pa.Table) -> pa.Table:
         if not asks.num_rows:
             return _TOLD.empty_table()
-        if held.num_rows:
-            row = held.to_pylist()[0]
-            known, p, gamma = _unpacked(row["keys"]), np.frombuffer(row["p"], np.float32), np.frombuffer(row["gamma"], np.float32)
-        else:
-            known = np.zeros(0, np.uint64)
-        out = []
+        row = held.to_pylist()[0]
+        known, p = np.frombuffer(row["hashes"], np.uint64), np.frombuffer(row["p"], np.float32)
+        told = []
         for a in asks.to_pylist():
-            keys = _unpacked(a["keys"])
-            if len(known):
-                at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-                hit = known[at] == keys
-                found = [np.where(hit, x[at], np.float32("nan")).astype(np.float32) for x in (p, gamma)]
-            else:
-                found = [np.full(len(keys), np.nan, np.float32)] * 2
-            out.append((a["block"], a["order"], a["first"], found[0].tobytes(), None if a["order"] == ORDER else found[1].tobytes()))
-        return pa.Table.from_batches([table(_TOLD, *zip(*out))])
-
-    asks = blocks.select("block", "keys").mapInArrow(ask, "order int, bucket long, part int, block long, first long, keys binary")
+            steps = np.minimum(np.round(-p[np.searchsorted(known, mixed(_unpacked(a["keys"])))] * FINE), 65535)
+            told.append((a["block"], a["bucket"], zstandard.compress(steps.astype(np.uint16).tobytes(), 1)))
+        return pa.Table.from_batches([table(_TOLD, *zip(*told))])
+
+    asks = blocks.select("block", "keys").mapInArrow(ask, "bucket long, part int, block long, keys binary")
     copies = arrays.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    by = ["order", "bucket", "part"]
-    told = copies.groupBy(*by).cogroup(asks.groupBy(*by)).applyInArrow(tell, "block long, order int, first long, p binary, gamma binary")
+    told = copies.groupBy("bucket", "part").cogroup(asks.groupBy("bucket", "part")).applyInArrow(tell, "block long, bucket long, p binary")
     fields = [(f.name, f.type) for f in BLOCKS.field("rows").type.value_type]
     schema = pa.schema([*fields, ("log_perplexity", pa.float64())])
 
@@ -331,25 +318,32 @@ def perplexities(blocks: DataFrame, grams: DataFrame) -> DataFrame:
             return schema.empty_table()
         row = own.to_pylist()[0]
         distinct = _unpacked(row["keys"])
-        orders = _orders(distinct)
-        p, gamma = [np.full(len(x), np.nan) for x in orders], [np.full(len(x), np.nan) for x in orders]
-        for a in sent.to_pylist():
-            for into, x in ((p, a["p"]), (gamma, a["gamma"])):
-                if x is not None:
-                    x = np.frombuffer(x, np.float32)
-                    into[a["order"]][a["first"] : a["first"] + len(x)] = x
-        log_p = _log_p(distinct, orders, p, gamma)
+        bucket, steps = _bucket(mixed(distinct), bits), np.zeros(len(distinct))
+        for i, p in zip(sent.column("bucket").to_pylist(), sent.column("p").to_pylist()):
+            steps[bucket == i] = np.frombuffer(zstandard.decompress(p), np.uint16)
         text, ends = zstandard.decompress(row["texts"]), np.cumsum(row["sizes"]).tolist()
         keys, sizes = _keys([text[a:z] for a, z in zip([0, *ends[:-1]], ends)], np.array(row["langs"]))
-        each = log_p[np.searchsorted(distinct, mixed(keys))]
-        mean = np.add.reduceat(each, np.cumsum(sizes) - sizes) / sizes
+        mean = np.add.reduceat(steps[np.searchsorted(distinct, keys)], np.cumsum(sizes) - sizes) / sizes / FINE
         rows = row["rows"]
-        return pa.Table.from_batches([table(schema, *[[r[c] for r in rows] for c in _MEASURES], -mean)])
+        return pa.Table.from_batches([table(schema, *[[r[c] for r in rows] for c in _MEASURES], mean)])
 
     asked = blocks.select("block", "rows", "texts", "sizes", "langs", "keys")
     return asked.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(apply, ", ".join(f"{c} {'string' if c == 'lang' else 'long'}" for c in _MEASURES) + ", log_perplexity double")
 
 
+def learn(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[DataFrame]:
+    """The model of docs (text, lang), by order."""
+    session(docs.sparkSession)
+    return probabilities(written(_counts(_blocks(docs.withColumn("doc_id", F.lit(None).cast("long")), block_bytes))))
+
+
+def score(docs: DataFrame, levels: list[DataFrame], block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, lang, the measures and log_perplexity of texts under a model that was learned from any others."""
+    session(docs.sparkSession)
+    blocks = _blocks(docs, block_bytes)
+    return perplexities(blocks, backed_off(_counts(blocks), levels))
+
+
 def bands(scored: DataFrame, below: float = BELOW, above: float = ABOVE, fewest: int = FEWEST) -> DataFrame:
     """lang (null counts as a language), low, high: the language's median log perplexity less `below`, and more `above`,
     robust deviations of its documents under and over the median (1.4826 medians of distances, at least 10 steps).
@@ -385,7 +379,8 @@ def judge(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """
     session(docs.sparkSession)
     blocks = _blocks(docs, block_bytes)
-    scored = written(perplexities(blocks, written(_counts(blocks))))
+    # the model has all their n-grams, as it was learned from these texts
+    scored = written(perplexities(blocks, probabilities(written(_counts(blocks)))[ORDER].select("key", "p")))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     rows = scored.withColumn("base_failed", failed)
     # NULL = NULL is unknown: languages are joined by a text that no language has in place of null
