@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from quayside.llm._util import session, shared_dir, table, utf8, written
 
 #: Bytes of the longest n-gram; text bytes of a block; n-grams that a task adds up before it passes them on; n-grams of a
-#: bucket; blocks that ask a copy of a bucket.
-ORDER, BLOCK_BYTES, PASSED_ON, BUCKET, ASKING = 5, 8 << 20, 2_000_000, 1 << 20, 16_384
+#: bucket; bytes of keys that ask a copy of a bucket.
+ORDER, BLOCK_BYTES, PASSED_ON, BUCKET, ASKING = 5, 8 << 20, 2_000_000, 1 << 18, 16 << 20
 #: Bounds of the rules: fewest words; largest share of words in repeated windows, in percent.
 LEAST_WORDS, MOST_REPEATED = 50, 50
 #: A band's two sides, in robust deviations; languages with fewer documents than this have the band of all documents;
@@ -286,15 +286,18 @@ def perplexities(blocks: DataFrame, grams: DataFrame) -> DataFrame:
     """doc_id, lang, the measures, and log_perplexity (log10, by byte) of every row of the blocks. grams: key, p of all
     their n-grams."""
     arrays, bits = stored(grams)
-    parts = max(1, -(-blocks.count() // ASKING))
+    # blocks ask copies of the buckets, as many as keep what asks one of them in bounds
+    n_bytes = blocks.agg(F.coalesce(F.sum(F.octet_length("keys")), F.lit(0))).first()[0]
+    parts = max(1, -(-n_bytes // (ASKING << bits)))
 
     def ask(batches):
         for b in batches:
             for block, packed in zip(b.column("block").to_pylist(), b.column("keys").to_pylist()):
                 keys = _unpacked(packed)
                 bucket = _bucket(mixed(keys), bits)
+                part = int(mixed(np.array([block]))[0] % np.uint64(parts))
                 for i in np.unique(bucket).tolist():
-                    yield table(_ASKED, [i], [block % parts], [block], [_packed(keys[bucket == i])])
+                    yield table(_ASKED, [i], [part], [block], [_packed(keys[bucket == i])])
 
     def tell(held: pa.Table, asks: pa.Table) -> pa.Table:
         if not asks.num_rows:

@@ -90,7 +90,7 @@ def docs():
 def test_judges_as_a_plain_reading_does(spark, docs, monkeypatch):
     monkeypatch.setattr(quality, "BUCKET", 300)
     monkeypatch.setattr(quality, "PASSED_ON", 500)
-    monkeypatch.setattr(quality, "ASKING", 2)
+    monkeypatch.setattr(quality, "ASKING", 100)
     df = spark.createDataFrame([(*r, 1, "k") for r in docs], "doc_id long, text string, lang string, low int, kept string").repartition(3)
     got = quality.judge(df, block_bytes=3000).collect()
     assert len(got) == len(docs)
