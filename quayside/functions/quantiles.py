@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quayside.sources.shared import written
@@ -39,3 +39,30 @@ def exact_quantiles(df: DataFrame, column: str, wanted: dict[str, float]) -> Dat
         low, high = got[int(p)], got[min(int(p) + 1, n - 1)]
         out[k] = low if p == int(p) or low == high else low + (p - int(p)) * (high - low)
     return df.sparkSession.range(1).select(*[F.lit(float(v)).alias(k) for k, v in out.items()])
+
+
+def share_at_or_below(rows: DataFrame, reference: DataFrame, column: str, name: str) -> DataFrame:
+    """rows with `name`: the share of the reference's known values of `column` that are at or under the row's own (null
+    where the row has none, or the reference).
+
+    Both are sorted together over range partitions and written; a partition's count of reference values and the counts
+    before it give every place, so no task holds more than its partition. NaN counts as a value above all others.
+    """
+    v = F.col(column).cast("double")
+    packed = rows.withColumn("__row", F.struct(*rows.columns))
+    known = reference.select(v.alias("v"), F.lit(0).alias("asks"), F.lit(None).cast(packed.schema["__row"].dataType).alias("row")).where("v is not null")
+    asked = packed.select(v.alias("v"), F.lit(1).alias("asks"), F.col("__row").alias("row"))
+    # a reference value comes before an equal one that asks
+    every = known.unionByName(asked.where("v is not null")).orderBy("v", "asks")
+    at = F.monotonically_increasing_id()
+    every = written(every.select("asks", "row", F.shiftright(at, 33).alias("part"), at.alias("at")))
+    counts = sorted((r.part, r.n) for r in every.groupBy("part").agg(F.count_if(F.col("asks") == 0).alias("n")).collect())  # a row per partition
+    before, n = [], 0
+    for part, k in counts:
+        before.append((part, n))
+        n += k
+    offsets = every.sparkSession.createDataFrame(before, "part long, before long")
+    upto = F.count_if(F.col("asks") == 0).over(Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    found = every.withColumn("upto", upto).where("asks = 1").join(F.broadcast(offsets), "part")
+    share = (F.col("before") + F.col("upto")) / F.nullif(F.lit(float(n)), F.lit(0.0))
+    return found.select("row.*", share.alias(name)).unionByName(rows.where(v.isNull()).withColumn(name, F.lit(None).cast("double")))
