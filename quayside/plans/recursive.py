@@ -104,16 +104,19 @@ def step_panel(state: DataFrame, future: DataFrame, keep: tuple[str, ...] = ())
     return direct_panel(state, 1, future, keep=keep, at_last=True)
 
 
-def forecast_with(state: DataFrame, future: DataFrame, predict: Callable[[DataFrame], DataFrame], horizons: int = 7) -> DataFrame:
+def forecast_with(state: DataFrame, future: DataFrame, predict: Callable[[DataFrame], DataFrame], horizons: int = 7, top: DataFrame | None = None) -> DataFrame:
     """The days of `future` (product_id, date_key and the covariates known ahead), one after another, for every product
     whose history ends the day before the first: product_id, origin, horizon, target_date, pred, the guards, app_share.
 
     predict: a one-step panel to the same rows with `pred` and, if the model has one, `app_share`. A step's value is
     the next step's history, available, and split on the channels by the model's share, else the last 28 days', else
-    the last day's, else all app. `horizons` rounds; a round's rows are written, so no plan grows over the days.
+    the last day's, else all app. `horizons` rounds; a round's rows are written, so no plan grows over the days. top:
+    product_id, __top, the largest quantity ever observed, where `state` does not go back that far.
     """
     ahead = written(sanitize_future(future))
     end = state.groupBy("product_id").agg(F.max("date_key").alias("first_origin"), F.max(finite(F.col("quantity").cast("double"))).alias("top"))
+    if top is not None:
+        end = end.join(top, "product_id", "left").withColumn("top", F.greatest("top", finite(F.col("__top").cast("double")))).drop("__top")
     end = written(end)
     recent = written(state.join(end.drop("top"), "product_id").where(F.datediff("first_origin", "date_key") < BACK).drop("first_origin"))
     history, parts = recent, []
