@@ -350,14 +350,16 @@ _PRICES = {"price": "price", "price_web": _PW, "price_app": _PA}
 _RATIOS = (("price_vs_origin", "price", "price"), ("price_vs_lag_7", "price", "price_lag_7"), ("price_vs_median_28", "price", "price_median_28"), ("price_web_vs_median_28", "price_web", "price_web_median_28"), ("price_app_vs_median_28", "price_app", "price_app_median_28"))
 _PRICED = "priced AS (SELECT *, " + ", ".join(f"{v} AS x_{k}" for k, v in _PRICES.items()) + " FROM based), pst AS (SELECT *, lag(x_price, 7) OVER (" + _W + ") AS x_price_lag_7, " + ", ".join(f"median(x_{k}) OVER {_incl(28)} AS x_{k}_median_28" for k in _PRICES) + f", {_SORTED.format('l364, l365, l371')} AS q FROM priced), t AS (SELECT *, {_MED.format('q')} AS annual FROM pst)"
 _PANEL_ROWS = "x AS (SELECT t.*, CAST(h AS BIGINT) AS horizon, CAST(t.date_key - CAST(h AS INT) AS DATE) AS origin FROM t, range(1, 8) r(h))"
-_PANEL_COLUMNS = (
-    "o.product_id, o.date_key AS origin, x.horizon, x.date_key AS target_date, "
-    + ", ".join(_r(c, n) for c, n in (("x.quantity", "target"), ("x.quantity_app", "target_app"), ("x.quantity_web", "target_web"), ("o.qty_available", "lag_0"), ("coalesce(x.b4321, o.at_origin)", "target_baseline"), ("x.annual", "annual"), *[(f"x.l{k}", f"season_{k}") for k in _SEASONS], ("x.discount_web", "discount_web"), ("x.discount_app", "discount_app"), ("x.price", "price")))
-    + ", x.b4321 IS NULL AS target_baseline_missing, x.available, x.is_promo, CAST(x.campaign_web AS BIGINT) AS campaign_web, CAST(x.campaign_app AS BIGINT) AS campaign_app, x.annual IS NULL AS annual_missing, "
-    + _r(_ratio("coalesce(x.b4321, o.at_origin)", "x.annual"), "baseline_annual")
-    + "".join(f", x.l{k} IS NULL AS season_{k}_missing" for k in (364, 365, 371))
-    + "".join(", " + _r(_ratio(f"x.x_{a}", f"o.x_{b}"), n) for n, a, b in _RATIOS)
-)
+#: In the order of the panel's columns.
+_PANEL_COLUMNS = ", ".join([
+    "o.product_id", "o.date_key AS origin", "x.horizon", "x.date_key AS target_date",
+    *[_r(c, n) for c, n in (("x.quantity", "target"), ("x.quantity_app", "target_app"), ("x.quantity_web", "target_web"), ("o.qty_available", "lag_0"), ("coalesce(x.b4321, o.at_origin)", "target_baseline"))],
+    "x.b4321 IS NULL AS target_baseline_missing", "x.available", "x.is_promo", "CAST(x.campaign_web AS BIGINT) AS campaign_web", "CAST(x.campaign_app AS BIGINT) AS campaign_app",
+    *[_r(f"x.{c}", c) for c in ("discount_web", "discount_app", "price", "annual")], *[_r(f"x.l{k}", f"season_{k}") for k in _SEASONS],
+    "x.annual IS NULL AS annual_missing", _r(_ratio("coalesce(x.b4321, o.at_origin)", "x.annual"), "baseline_annual"),
+    *[f"x.l{k} IS NULL AS season_{k}_missing" for k in (364, 365, 371)], *[_r(_ratio(f"x.x_{a}", f"o.x_{b}"), n) for n, a, b in _RATIOS],
+])
+
 _add("pnl2_win6_12_21_direct_panel", lambda s, d: direct.direct_panel(_state(s, d), price=True), f"{_LAGGED}, {_PRICED}, {_PANEL_ROWS} SELECT {_PANEL_COLUMNS} FROM t o JOIN x ON o.product_id = x.product_id AND o.date_key = x.origin")
 _CUT = "2001-06-30"
 

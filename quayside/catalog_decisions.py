@@ -129,7 +129,7 @@ def _roles(s, d):
     return days.select(role.alias("role"), F.col("date_key").alias("origin")).where("role is not null")
 
 
-_add("set4_role_overlaps", lambda s, d: context.role_overlaps(_roles(s, d)), f"{_STATE}, r AS (SELECT DISTINCT CASE day(date_key) WHEN 1 THEN 'development' WHEN 5 THEN 'calibration' ELSE 'benchmark' END AS role, date_key AS origin FROM panel WHERE day(date_key) IN (1, 5, 20)), t AS (SELECT DISTINCT role, CAST(origin + CAST(k AS INT) AS DATE) AS target_date FROM r, range(1, 8) x(k)) SELECT a.role AS role_a, b.role AS role_b, a.target_date FROM t a JOIN t b ON a.target_date = b.target_date AND a.role < b.role")
+_add("set4_role_overlaps", lambda s, d: context.role_overlaps(_roles(s, d)), f"{_STATE}, r AS (SELECT DISTINCT CASE day(date_key) WHEN 1 THEN 'development' WHEN 5 THEN 'calibration' ELSE 'benchmark' END AS role, date_key AS origin FROM panel WHERE day(date_key) IN (1, 5, 20)), t AS (SELECT DISTINCT role, CAST(origin + CAST(k AS INT) AS DATE) AS target_date FROM r, range(1, 8) x(k)) SELECT a.target_date, a.role AS role_a, b.role AS role_b FROM t a JOIN t b ON a.target_date = b.target_date AND a.role < b.role")
 
 # choices ----------------------------------------------------------------------------------------------------------
 

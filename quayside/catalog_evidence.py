@@ -105,7 +105,7 @@ def _cheapest(s, d):
     return select.cheapest_within(_families(s, d).select("candidate", "broad", active), "broad", "cost")
 
 
-_add("sel15_cheapest_within", _cheapest, f"{_FAM}, ch AS (SELECT candidate, broad, {' + '.join(f'CAST(w_{m} > 0 AS BIGINT)' for m in MODELS)} AS cost FROM fam) SELECT candidate, cost, {_r('ch.broad', 'broad')} FROM ch WHERE ch.broad <= 1.02 * (SELECT min(broad) FROM ch) ORDER BY cost, round(ch.broad, 12), candidate LIMIT 1")
+_add("sel15_cheapest_within", _cheapest, f"{_FAM}, ch AS (SELECT candidate, broad, {' + '.join(f'CAST(w_{m} > 0 AS BIGINT)' for m in MODELS)} AS cost FROM fam) SELECT candidate, {_r('ch.broad', 'broad')}, cost FROM ch WHERE ch.broad <= 1.02 * (SELECT min(broad) FROM ch) ORDER BY cost, round(ch.broad, 12), candidate LIMIT 1")
 
 
 def _long_plan(s, d):

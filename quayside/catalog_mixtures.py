@@ -10,6 +10,7 @@ from quayside.catalog import _OOF, _SCORED, _STATE, _STRATUM, _W, MODELS, ORIGIN
 from quayside.functions import scalar
 from quayside.operators import anomaly, blend, mixtures, select, tails
 from quayside.plans import direct, evaluate, models
+from quayside.sources.shared import written
 
 _Q: dict = {}
 _SQL: dict[str, str] = {}
@@ -87,7 +88,7 @@ def _residual_panel(s, d):
 
 _add("pnl18_jn11_residual_panel", _residual_panel, f"""{_SCORED}, g AS (SELECT *, row_number() OVER ({_W}) AS day_, {_WB}, avg(qty_available) OVER {base._incl(7)} AS m7, avg(qty_available) OVER {base._incl(28)} AS m28 FROM profile),
 t AS (SELECT product_id, date_key AS target_date, quantity AS target, CASE WHEN ({_WDEN}) > 0 THEN ({_WNUM}) / ({_WDEN}) END AS wb, CAST(h AS BIGINT) AS horizon, CAST(date_key - CAST(h AS INT) AS DATE) AS origin FROM g, range(1, 8) r(h) WHERE day_ > 35)
-SELECT t.product_id, t.origin, t.horizon, t.target_date, {_r('t.target', 'target')}, {_r('t.wb', 'weighted_baseline')}, {_r('o.qty_available', 'lag_0')}, {_r('o.m7', 'mean_7')}, {_r('o.m28', 'mean_28')}, {_r('o.score', 'origin_score')}, {_r('CAST(o.days_since_flag AS DOUBLE)', 'origin_days_since_flag')}
+SELECT t.product_id, t.origin, t.horizon, t.target_date, {_r('t.target', 'target')}, {_r('t.wb', 'weighted_baseline')}, {_r('o.qty_available', 'lag_0')}, {_r('o.m7', 'mean_7')}, {_r('o.m28', 'mean_28')}, {_r('o.score', 'origin_score')}, CAST(o.days_since_flag AS BIGINT) AS origin_days_since_flag
 FROM t LEFT JOIN g o ON o.product_id = t.product_id AND o.date_key = t.origin WHERE t.origin IN ({base._DATES})""")
 
 # plans ------------------------------------------------------------------------------------------------------------
@@ -132,7 +133,7 @@ _add("ens10_product_plan", lambda s, d: mixtures.product_plan(base._oof(s, d), M
 
 def _four_methods(s, d):
     """The four kinds of plan, applied to the same rows."""
-    oof, grid = base._oof(s, d), _grid(s)
+    oof, grid = written(base._oof(s, d)), _grid(s)
     overall = mixtures.search(oof, MODELS, grid, "baseline")
     flat = mixtures.apply_plan(oof, MODELS, overall, name="global_convex")
     scales = blend.reconciliation(flat.where("global_convex is not null"), "global_convex")

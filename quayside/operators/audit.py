@@ -84,3 +84,72 @@ def context_rarity(rows: DataFrame, columns: list[str], scale: DataFrame) -> Dat
 def risk_rollup(ranked: DataFrame, flagged: float = 0.99) -> DataFrame:
     """Per day: mean and largest risk percentile, and how many rows are flagged."""
     return ranked.groupBy("date_key").agg(F.avg("risk").alias("mean_risk"), F.max("risk").alias("max_risk"), F.count_if(F.col("risk") >= flagged).alias("flagged"))
+
+
+def seeded(scored: DataFrame, seeds: int = 3, keep: int = 3, of: int = 4) -> DataFrame:
+    """scored (product_id, ...) once for each seed, with the products that the seed draws: about `keep` of `of`, by md5."""
+    rows = scored.withColumn("seed", F.explode(F.sequence(F.lit(1), F.lit(seeds))))
+    word = F.conv(F.substring(F.md5(F.concat_ws("-", F.col("seed").cast("string"), F.col("product_id").cast("string"))), 1, 8), 16, 10).cast("long")
+    return rows.where(word % of < keep)
+
+
+def seed_scores(scored: DataFrame, ends: tuple[str, str, str], seeds: int = 3) -> DataFrame:
+    """seed, date_key, score (0.9 quantile of the drawn products' scores), any_event, split: one detector a seed."""
+    day = seeded(scored, seeds).groupBy("seed", "date_key").agg(F.percentile("score", F.lit(0.9)).alias("score"), F.bool_or("known_event").alias("any_event"))
+    return day.withColumn("split", split_of(F.col("date_key"), *ends))
+
+
+def spearman(rows: DataFrame, by: list[str], a: str, b: str, name: str) -> DataFrame:
+    """by..., name: rank correlation of a and b (ties share their mean rank) over rows with both; 0 without spread. Values are
+    compared to nine places."""
+    known = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).withColumns({"__a": F.round(F.col(a).cast("double"), 9), "__b": F.round(F.col(b).cast("double"), 9)})
+    place = lambda c: F.rank().over(Window.partitionBy(*by).orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, c)) - 1) / 2
+    ranks = known.withColumns({"__ra": place("__a"), "__rb": place("__b")})
+    r = F.corr("__ra", "__rb")
+    return ranks.groupBy(*by).agg(F.coalesce(F.when(~F.isnan(r), r), F.lit(0.0)).alias(name))
+
+
+def run_metrics(daily: DataFrame, hard: DataFrame, alpha: float = 0.02) -> DataFrame:
+    """Per seed: how far the flag rates of calibration and holdout days are from alpha (a day is flagged above the calibration
+    scores' 1 - alpha quantile), and on holdout days the score's drift with time, its correlation with the day before, its
+    rank correlation with the difficulty to come, the lift of the top score tenth (1 under 20 days), and event enrichment."""
+    cut = daily.where("split = 'calibration'").groupBy("seed").agg(F.percentile("score", F.lit(1 - alpha)).alias("threshold"))
+    rows = daily.join(cut, "seed").withColumn("flag", (F.col("score") > F.col("threshold")).cast("double"))
+    rate = lambda c: F.avg(F.when(c, F.col("flag")))
+    held = F.col("split") == "holdout"
+    rates = rows.groupBy("seed").agg(
+        F.abs(rate(F.col("split") == "calibration") - alpha).alias("calibration_far_error"), F.abs(rate(held) - alpha).alias("holdout_far_error"),
+        ((F.coalesce(rate(held & F.col("any_event")), F.lit(0.0)) + 1e-4) / (F.coalesce(rate(held & ~F.col("any_event")), F.lit(0.0)) + 1e-4)).alias("event_enrichment"),
+    )
+    holdout = rows.where(held & F.col("score").isNotNull()).withColumn("day", F.datediff("date_key", F.lit("1970-01-01").cast("date")))
+    before = holdout.withColumn("before", F.lag("score").over(Window.partitionBy("seed").orderBy("date_key")))
+    again = F.corr("score", "before")
+    lag = before.groupBy("seed").agg(F.coalesce(F.when((F.count("*") > 3) & ~F.isnan(again), again), F.lit(0.0)).alias("persistence"))
+    both = holdout.join(hard, "date_key").where("difficulty is not null")
+    top = both.groupBy("seed").agg(F.percentile("score", F.lit(0.9)).alias("top"), F.count("*").alias("n"), F.avg("difficulty").alias("usual"))
+    lifted = both.join(top, "seed").groupBy("seed").agg(F.first("n").alias("n_holdout"), (F.avg(F.when(F.col("score") >= F.col("top"), F.col("difficulty"))) / F.nullif(F.first("usual"), F.lit(0.0))).alias("lift"))
+    lifted = lifted.select("seed", "n_holdout", F.when(F.col("n_holdout") >= 20, F.coalesce("lift", F.lit(1.0))).otherwise(1.0).alias("top_lift"))
+    out = rates.join(spearman(holdout, ["seed"], "day", "score", "drift"), "seed", "left").join(lag, "seed", "left")
+    out = out.join(spearman(both, ["seed"], "score", "difficulty", "predictive"), "seed", "left").join(lifted, "seed", "left")
+    return out.fillna(0.0, ["drift", "persistence", "predictive"]).fillna(1.0, ["top_lift"])
+
+
+def diagnostic_objective(metrics: DataFrame, daily: DataFrame) -> DataFrame:
+    """One row from the seeds' metrics (run_metrics) and scores: each component and the objective. What a detector foresees
+    counts .45, the tanh of its lift beyond 1 counts .20, the mean rank agreement of all pairs of seeds .25 (1 with a single
+    seed); far-off flag rates, drift and persistence beyond .85 are taken off."""
+    a = daily.where("score is not null").select("date_key", F.col("seed").alias("seed_a"), F.col("score").alias("score_a"))
+    b = daily.where("score is not null").select("date_key", F.col("seed").alias("seed_b"), F.col("score").alias("score_b"))
+    pairs = spearman(a.join(b, "date_key").where("seed_a < seed_b"), ["seed_a", "seed_b"], "score_a", "score_b", "agreement")
+    stable = pairs.agg(F.coalesce(F.avg("agreement"), F.lit(1.0)).alias("seed_stability"), F.count("*").alias("n_pairs"))
+    mean = metrics.agg(F.count("*").alias("n_seeds"), *[F.avg(c).alias(c) for c in ("predictive", "top_lift", "calibration_far_error", "holdout_far_error", "drift", "persistence")])
+    out = mean.crossJoin(F.broadcast(stable))  # one row each
+    zero = F.lit(0.0)
+    parts = {
+        "predictive_component": F.greatest(F.lit(-0.25), F.col("predictive")), "lift_component": F.tanh(F.greatest(zero, F.col("top_lift") - 1)),
+        "calibration_penalty": 4.0 * (F.col("calibration_far_error") + F.col("holdout_far_error")), "drift_penalty": 0.30 * F.abs("drift"),
+        "persistence_penalty": 0.20 * F.greatest(zero, F.col("persistence") - 0.85),
+    }
+    out = out.withColumns(parts)
+    total = 0.45 * F.col("predictive_component") + 0.20 * F.col("lift_component") + 0.25 * F.col("seed_stability") - F.col("calibration_penalty") - F.col("drift_penalty") - F.col("persistence_penalty")
+    return out.select("n_seeds", "n_pairs", *parts, "seed_stability", total.alias("objective"))

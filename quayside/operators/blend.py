@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quayside.functions.scalar import stratum
+from quayside.operators.candidates import error_sums, named, weights_of
 from quayside.plans.evaluate import STRATA
 
 
@@ -33,14 +34,14 @@ def coefficients(oof: DataFrame) -> DataFrame:
 
 
 def fit(oof: DataFrame, members: list[str], steps: int = 10) -> DataFrame:
-    """Score of every candidate on rows where all members and the actual are known: sum of coef * |error|."""
+    """Score of every candidate on rows where all members and the actual are known: sum of coef * |error|.
+    One pass of matrix products."""
     known = reduce(lambda a, b: a & b, [F.col(f"pred_{m}").isNotNull() for m in members], F.col("actual").isNotNull() & F.col("available"))
     rows = coefficients(oof.where(known))
-    grid = simplex(oof.sparkSession, members, steps)
-    blend = sum((F.col(f"pred_{m}") * F.col(f"w_{m}") for m in members[1:]), F.col(f"pred_{members[0]}") * F.col(f"w_{members[0]}"))
+    names, weights = weights_of(simplex(oof.sparkSession, members, steps), members)
+    sums = named(error_sums(rows, [f"pred_{m}" for m in members], weights, [], coef="coef"), names, weights, members)
     square = sum((F.col(f"w_{m}") * F.col(f"w_{m}") for m in members[1:]), F.col(f"w_{members[0]}") * F.col(f"w_{members[0]}"))
-    scored = rows.crossJoin(F.broadcast(grid)).groupBy("candidate", *[f"w_{m}" for m in members]).agg(F.sum(F.col("coef") * F.abs(blend - F.col("actual"))).alias("aligned"), (F.sum(F.abs(blend - F.col("actual"))) / F.sum(F.abs("actual"))).alias("broad"))
-    return scored.withColumn("concentration", square)
+    return sums.select("candidate", *[f"w_{m}" for m in members], F.col("a").alias("aligned"), (F.col("e") / F.nullif("v", F.lit(0.0))).alias("broad"), square.alias("concentration"))
 
 
 def best(scored: DataFrame) -> DataFrame:

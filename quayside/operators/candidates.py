@@ -19,7 +19,7 @@ def error_sums(rows: DataFrame, columns: list[str], weights: np.ndarray, by: lis
     actual), r (the reference column's absolute error), a (coef x absolute error), and te, tr, tv: e, r, v of rows whose
     actual is at least `top`.
 
-    weights: (candidates, columns). A candidate predicts the weighted sum of the columns, at least 0; with `base`, the sum
+    weights: (candidates, columns), as many as a driver holds. A candidate predicts the weighted sum of the columns, at least 0; with `base`, the sum
     is a log ratio to that column: expm1(log1p(base) + sum), at least 0. All columns, and `actual`, must be known.
     """
     kinds = {f.name: f.dataType for f in rows.schema.fields}
@@ -54,7 +54,7 @@ def error_sums(rows: DataFrame, columns: list[str], weights: np.ndarray, by: lis
                 np.maximum(made, 0.0, out=made)
                 made -= y[:, None]
                 size = np.abs(made)
-                ref = np.abs(col(reference) - y) if reference else np.zeros(len(y))
+                ref = np.nan_to_num(np.abs(col(reference) - y)) if reference else np.zeros(len(y))
                 share = col(coef) if coef else np.zeros(len(y))
                 high = (y >= top) if top is not None else np.zeros(len(y), bool)
                 starts = np.flatnonzero(np.r_[True, np.diff(group[order]) != 0])
@@ -70,3 +70,16 @@ def error_sums(rows: DataFrame, columns: list[str], weights: np.ndarray, by: lis
 
     made = rows.select(*needed).mapInArrow(run, spec)
     return made.groupBy(*by, "candidate").agg(*[F.sum(s).alias(s) for s in SUMS])
+
+
+def weights_of(candidates: DataFrame, members: list[str]) -> tuple[list[str], np.ndarray]:
+    """Names and weights (w_<member>) of a table of candidates."""
+    t = candidates.select("candidate", *[f"w_{m}" for m in members]).toArrow()
+    return t.column("candidate").to_pylist(), np.column_stack([np.asarray(t.column(f"w_{m}"), float) for m in members])
+
+
+def named(sums: DataFrame, names: list[str], weights: np.ndarray, members: list[str]) -> DataFrame:
+    """sums with candidates by name, and their weights."""
+    rows = [(i, n, *map(float, w)) for i, (n, w) in enumerate(zip(names, weights))]
+    table = sums.sparkSession.createDataFrame(rows, "candidate int, __name string, " + ", ".join(f"w_{m} double" for m in members))
+    return sums.join(F.broadcast(table), "candidate").withColumn("candidate", F.col("__name")).drop("__name")  # as many as the search was given

@@ -1,7 +1,7 @@
 """Weight plans over forecasts: searched by objective over candidates, by horizon or product, shrunk, applied and judged.
 
-Candidates are few and broadcast; every search is one aggregation of the rows to a row per scope, origin and candidate,
-and all that follows works on that small table.
+Every search is one pass over the rows, as matrix products of predictions and weights, to a row per scope, origin and
+candidate, and all that follows works on that small table.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from quayside.functions.quantiles import exact_quantiles
 from quayside.functions.scalar import stratum
 from quayside.operators.blend import best, coefficients, fit
+from quayside.operators.candidates import error_sums, named, weights_of
 
 
 def merged(frames: dict[str, DataFrame], keys: list[str], value: str = "pred") -> DataFrame:
@@ -53,21 +54,20 @@ def _blend(members: list[str], prefix: str = "w_") -> Column:
 def search(frame: DataFrame, members: list[str], candidates: DataFrame, reference: str, scope: tuple[str, ...] = (), stability: float = 0.06, bias: float = 0.03) -> DataFrame:
     """Per scope the candidate of least objective: WAPE + stability x deviation of the origins' improvements over the
     reference + bias x |bias ratio| (ties: the first by name), with its weights and measures and the scope's rows."""
-    y, p = F.col("actual"), _blend(members)
-    rows = known(frame, members).crossJoin(F.broadcast(candidates))  # as many as the search was given
-    sums = rows.groupBy(*scope, "candidate", "origin").agg(
-        F.sum(F.abs(p - y)).alias("e"), F.sum(p - y).alias("b"), F.sum(F.abs(y)).alias("v"), F.sum(F.abs(F.col(f"pred_{reference}") - y)).alias("r"), F.count("*").alias("k"),
-    )
+    names, weights = weights_of(candidates, members)
+    sums = error_sums(known(frame, members), [f"pred_{m}" for m in members], weights, [*scope, "origin"], f"pred_{reference}")
     gain = F.when(F.col("v") > 0, F.when(F.col("r") > 0, (F.col("r") - F.col("e")) / F.col("r")).otherwise(0.0))
     out = sums.groupBy(*scope, "candidate").agg(
-        F.sum("k").alias("n"), (F.sum("e") / F.sum("v")).alias("wape"), (F.sum("b") / F.sum("v")).alias("bias_ratio"), (1 - F.sum("e") / F.nullif(F.sum("r"), F.lit(0.0))).alias("improvement"),
+        F.sum("n").cast("long").alias("n"), (F.sum("e") / F.sum("v")).alias("wape"), (F.sum("b") / F.sum("v")).alias("bias_ratio"), (1 - F.sum("e") / F.nullif(F.sum("r"), F.lit(0.0))).alias("improvement"),
         F.coalesce(F.stddev_pop(gain), F.lit(1.0)).alias("spread"), F.coalesce(F.avg(F.when(gain.isNotNull(), (gain > 0).cast("double"))), F.lit(0.0)).alias("won"), F.sum("v").alias("volume"),
     ).where("volume > 0")
+    out = named(out, names, weights, members)
     out = out.withColumn("objective", F.col("wape") + stability * F.col("spread") + bias * F.abs("bias_ratio"))
     out = out.withColumn("one", F.lit(0))
     place = F.row_number().over(Window.partitionBy(*(scope or ("one",))).orderBy(F.round("objective", 12), "candidate"))
-    won = out.withColumn("place", place).where("place = 1").drop("place", "volume", "one")
-    return won.join(F.broadcast(candidates), "candidate")
+    won = out.withColumn("place", place).where("place = 1")
+    weight = [f"w_{m}" for m in members]
+    return won.select("candidate", *scope, *[c for c in won.columns if c not in ("candidate", "place", "volume", "one", *scope, *weight)], *weight)
 
 
 def shrunk(local: DataFrame, overall: DataFrame, members: list[str], prior: float, most: float = 1.0) -> DataFrame:

@@ -131,3 +131,53 @@ def seed_pairs(daily: DataFrame) -> DataFrame:
     a = rows.select("date_key", F.col("seed").alias("seed_a"), F.col("score").alias("score_a"))
     b = rows.select("date_key", F.col("seed").alias("seed_b"), F.col("score").alias("score_b"))
     return a.join(b, "date_key").where("seed_a < seed_b")
+
+
+#: Columns of the showcase of screening tables.
+SHOWCASE = ("wape", "test_aligned_wape", "bias_ratio", "coverage")
+
+
+def showcase(tables: list[tuple[str, DataFrame, list[str]]]) -> DataFrame:
+    """tier, stage, candidate, model, the measures, description, selected, place: screening tables in one schema.
+
+    tables: tier, table (candidate, and whatever it has of stage, model, description and the measures), and the names of the
+    candidates that were chosen. What a table lacks is null (stage: the tier). In order: tier, stage, chosen ones first, then
+    by test-aligned WAPE, unknown ones last. The tables have a row per candidate.
+    """
+    parts = []
+    for tier, df, chosen in tables:
+        own = lambda c, kind, otherwise=None: F.col(c).cast(kind) if c in df.columns else F.lit(otherwise).cast(kind)  # noqa: E731,B023
+        selected = F.col("candidate").cast("string").isin(chosen) if chosen else F.lit(False)
+        parts.append(df.select(F.lit(tier).alias("tier"), own("stage", "string", tier).alias("stage"), own("candidate", "string").alias("candidate"), own("model", "string").alias("model"), *[own(m, "double").alias(m) for m in SHOWCASE], own("description", "string", "").alias("description"), selected.alias("selected")))
+    out = reduce(DataFrame.unionByName, parts)
+    order = Window.partitionBy("one").orderBy("tier", "stage", F.desc("selected"), F.round("test_aligned_wape", 9).asc_nulls_last(), "candidate")
+    return out.withColumn("one", F.lit(0)).withColumn("place", F.row_number().over(order)).drop("one")
+
+
+def evidence_violations(stated: DataFrame, derived: DataFrame, tolerance: float = 5e-4) -> DataFrame:
+    """candidate, measure, stated, derived, violation: figures that a stored table states (candidate, measure, value) against
+    those derived anew: 'differs' beyond the tolerance, 'not derived' and 'not stated'. None: no rows."""
+    a = stated.select("candidate", "measure", F.col("value").cast("double").alias("stated"), F.lit(True).alias("is_stated"))
+    b = derived.select("candidate", "measure", F.col("value").cast("double").alias("derived"), F.lit(True).alias("is_derived"))
+    both = a.join(b, ["candidate", "measure"], "full")
+    off = F.abs(F.col("stated") - F.col("derived")) > tolerance
+    kind = F.when(F.col("is_derived").isNull(), "not derived").when(F.col("is_stated").isNull(), "not stated").when(off | (F.col("stated").isNull() != F.col("derived").isNull()), "differs")
+    return both.select("candidate", "measure", "stated", "derived", kind.alias("violation")).where("violation is not null")
+
+
+def gated(scores: DataFrame, control: Column, least: float = 0.002, slack: float = 1.03, coverage: float = 0.999, regression: float = 0.02) -> DataFrame:
+    """scores (candidate, aligned, broad, coverage, benchmark) with each gate and `place` among those that pass: the aligned
+    score is `least` better than the control's, the broad one within `slack` of it, enough rows are scored, and the benchmark
+    is no more than `regression` worse. The control passes its own gates; the best place is the choice. No control: none
+    passes."""
+    base = scores.where(control).agg(*[F.min(c).alias(f"control_{c}") for c in ("aligned", "broad", "benchmark")])  # one row
+    own = F.coalesce(control, F.lit(False))
+    gates = {
+        "passes_score": own | (F.col("aligned") <= (1 - least) * F.col("control_aligned")), "passes_broad": F.col("broad") <= slack * F.col("control_broad"),
+        "passes_coverage": F.col("coverage") >= coverage, "passes_benchmark": F.col("benchmark") <= (1 + regression) * F.col("control_benchmark"),
+    }
+    rows = scores.crossJoin(F.broadcast(base)).withColumns({k: F.coalesce(v, F.lit(False)) for k, v in gates.items()})
+    passes = reduce(lambda a, b: a & b, [F.col(k) for k in gates])
+    rows = rows.withColumns({"passes": passes, "one": F.lit(0)})
+    place = F.row_number().over(Window.partitionBy("one").orderBy(F.desc("passes"), F.when(own, 1).otherwise(0), F.round("aligned", 12), "candidate"))
+    return rows.withColumn("place", F.when(F.col("passes"), place)).drop("one", "control_aligned", "control_broad", "control_benchmark")
