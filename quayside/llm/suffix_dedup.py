@@ -286,9 +286,12 @@ def deduplicate(docs: DataFrame, length: int = 100, carry: tuple[str, ...] = ())
     earlier start) goes; strings are judged on the input. Null texts are empty; texts under `length` bytes stay
     whole; no documents give no rows. Different texts of one doc_id rank by their hash; rows that repeat doc_id and
     text are one document, returned each time with the same result. Rows of null doc_id stay as they are. carry: columns of docs that stand
-    beside the row's result.
+    beside the row's result; ValueError for one of a result's name.
     """
     session(docs.sparkSession)
+    ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_text string"
+    if clash := {"doc_id", "copy", "bytes", "spans", *[c.split()[0] for c in ddl.split(", ")]} & set(carry):
+        raise ValueError(f"columns of these names are made here: {sorted(clash)}")
     rows = keyed(docs, carry)
     spans = repeated_spans(rows.where("doc_id is not null").select("doc_id", "copy", "bytes"), length).groupBy("doc_id", "copy").agg(F.collect_list(F.struct("start", "strings")).alias("spans"))
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("kept_text", pa.string())])
@@ -320,6 +323,5 @@ def deduplicate(docs: DataFrame, length: int = 100, carry: tuple[str, ...] = ())
             own = table(schema, *out)
             yield pa.RecordBatch.from_arrays([*own.columns, *map(b.column, carry)], names=[*schema.names, *carry])
 
-    ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_text string"
     result = StructType([*StructType.fromDDL(ddl), *docs.select(*carry).schema])
     return rows.join(spans, ["doc_id", "copy"], "left").select("doc_id", "bytes", "spans", *carry).mapInArrow(remove, result)

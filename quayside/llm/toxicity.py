@@ -20,6 +20,7 @@ from itertools import accumulate
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,9 +32,11 @@ DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b",
 SIGNS = {"@": "a", "$": "s", "!": "i", "|": "i", "€": "e"}
 #: Phrases in which a word of the lexicon is harmless.
 EXCEPTIONS = ("clown fish", "trash can", "trash bin", "class clown car", "white trash bag", "scum line", "pond scum")
-#: Shortest and longest word beginning in the lexicon; least share of toxic training documents that have an entry;
-#: least weight; evidence beyond chance; rows (the least by hash) that the logistic function is fitted on.
-SHORTEST, LONGEST, LEAST_SHARE, LEAST_WEIGHT, SURE, FIT_ROWS = 4, 8, 0.002, 2.0, 4.0, 20_000
+#: Letters of the shortest and longest word beginning in the lexicon (whole words have any length); toxic training
+#: documents that an entry must be in at least; least weight; evidence beyond chance; rows (the least by hash) that the
+#: logistic function is fitted on; bits of the filter for clean documents' entries; bytes of a lexicon that is sent to
+#: all tasks.
+SHORTEST, LONGEST, LEAST_DOCUMENTS, LEAST_WEIGHT, SURE, FIT_ROWS, FILTER_BITS, LEXICON_BYTES = 4, 8, 3, 2.0, 4.0, 20_000, 1 << 25, 128 << 20
 
 
 class _Fold(dict):
@@ -125,23 +128,65 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
-def _shares(train: DataFrame, only: frozenset | None) -> DataFrame:
-    """entry, n: rows that have it; counted in each task first."""
+def _counts(rows: DataFrame, wanted: bytes | None = None) -> DataFrame:
+    """entry, n: rows that have it; counted in each task first. wanted: a filter (`_filter`): what it lacks is left out."""
     schema = pa.schema([("entry", pa.string()), ("n", pa.int64())])
 
+    def passed(counts: Counter):
+        names, n = list(counts), np.fromiter(counts.values(), np.int64, len(counts))
+        if wanted is not None:
+            at = np.fromiter((xxhash.xxh64_intdigest(e.encode(), 42) for e in names), np.uint64, len(names)) & np.uint64(FILTER_BITS - 1)
+            bits = np.frombuffer(wanted, np.uint8)
+            kept = np.flatnonzero(bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
+            names, n = [names[i] for i in kept.tolist()], n[kept]
+        return table(schema, names, n)
+
     def run(batches):
         counts: Counter = Counter()
         for b in batches:
             for raw in b.column("text").to_pylist():
-                own = entries(fold(raw.decode("utf-8")))
-                counts.update(own if only is None else own & only)
-            if len(counts) > 500_000:
-                yield table(schema, list(counts), list(counts.values()))
-                counts.clear()
+                counts.update(entries(fold(raw.decode("utf-8"))))
+                if len(counts) > 500_000:
+                    yield passed(counts)
+                    counts.clear()
         if counts:
-            yield table(schema, list(counts), list(counts.values()))
-
-    return train.select("text").mapInArrow(run, "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
+            yield passed(counts)
+
+    return rows.select("text").mapInArrow(run, "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
+
+
+def _filter(candidates: DataFrame) -> bytes:
+    """A bitmap of FILTER_BITS in which every candidate's bit is set: of one size, however many there are. More of them let
+    more of the others through, which a join then leaves out."""
+    bit = F.xxhash64("entry").bitwiseAND(F.lit(FILTER_BITS - 1))
+    rows = candidates.select(F.floor(bit / 32768).alias("part"), (bit % 32768).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in rows.collect():
+        out[r.part * 4096 : (r.part + 1) * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
+    return out.tobytes()
+
+
+def _lexicon(train: DataFrame, n_toxic: int, n_clean: int) -> tuple[tuple[str, float], ...]:
+    """Entries of at least LEAST_DOCUMENTS toxic rows with a weight of LEAST_WEIGHT and evidence beyond chance, less those
+    that a beginning of theirs makes needless: a match counts by its best entry. ValueError where they are more than what
+    can be sent to all tasks."""
+    candidates = written(_counts(train.where("toxic = 1")).where(F.col("n") >= LEAST_DOCUMENTS))
+    others = _counts(train.where("toxic = 0"), _filter(candidates)).withColumnRenamed("n", "c")
+    k, c = F.col("n").cast("double"), F.coalesce("c", F.lit(0)).cast("double")
+    weight = F.log((k + 0.5) / (n_toxic + 1)) - F.log((c + 0.5) / (n_clean + 1))
+    # of very many candidates some look toxic by chance: an entry counts if its likelihood ratio outdoes their number
+    share, least = n_toxic / (n_toxic + n_clean), 2 * math.log(candidates.count() + 1) + SURE
+    evidence = 2 * (k * F.log(k / (k + c) / share) + F.when(c > 0, c * F.log(c / (k + c) / (1 - share))).otherwise(0.0))
+    sure = candidates.join(others, "entry", "left").select("entry", F.round(weight, 6).alias("weight"), evidence.alias("evidence"))
+    sure = written(sure.where((F.col("weight") >= LEAST_WEIGHT) & (F.col("evidence") >= least)).select("entry", "weight"))
+    beginnings = F.filter(F.transform(F.sequence(F.lit(SHORTEST), F.lit(LONGEST)), lambda n: F.substring("entry", 1, n + 1)), lambda e: e != F.col("entry"))
+    shorter = sure.select(F.col("entry").alias("beginning"), F.col("weight").alias("its"))
+    needless = sure.select("entry", "weight", F.explode(F.array_distinct(beginnings)).alias("beginning")).join(shorter, "beginning").where("its >= weight").select("entry").distinct()
+    kept = written(sure.join(needless, "entry", "left_anti"))
+    n_bytes = kept.agg(F.coalesce(F.sum(F.octet_length("entry") + 64), F.lit(0))).first()[0]
+    if n_bytes > LEXICON_BYTES:
+        raise ValueError(f"a lexicon of {n_bytes} bytes can't be sent to all tasks (LEXICON_BYTES)")
+    return tuple(sorted((r.entry, r.weight) for r in kept.collect()))
 
 
 class Model:
@@ -152,9 +197,9 @@ class Model:
 
 
 def learn(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS, fit_rows: int = FIT_ROWS) -> Model:
-    """A model from docs (doc_id, text) and labels (doc_id, toxic): all labelled rows count for the lexicon, whose
-    entries at least LEAST_SHARE of the toxic rows have (so it is bounded); the logistic function is fitted on at
-    most fit_rows rows, the least by hash. Null labels are left out. One class only: a constant score."""
+    """A model from docs (doc_id, text) and labels (doc_id, toxic): all labelled rows count for the lexicon; the
+    logistic function is fitted on at most fit_rows rows, the least by hash. Null labels are left out; of several labels of
+    a doc_id the largest counts, and all rows of that doc_id have it. One class only: a constant score."""
     session(docs.sparkSession)
     own = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text"))
@@ -164,16 +209,7 @@ def learn(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = EXCE
     n_toxic, n_clean = n.get(1, 0), n.get(0, 0)
     if not n_toxic or not n_clean:
         return Model((), exceptions, (0, 0, 0, 0, 9.0 if n_toxic else -9.0))
-    toxic = {r.entry: r.n for r in _shares(train.where("toxic = 1"), None).where(F.col("n") >= max(3, LEAST_SHARE * n_toxic)).collect()}
-    clean = {r.entry: r.n for r in _shares(train.where("toxic = 0"), frozenset(toxic)).collect()}
-    weight = {e: math.log((k + 0.5) / (n_toxic + 1)) - math.log((clean.get(e, 0) + 0.5) / (n_clean + 1)) for e, k in toxic.items()}
-    # of very many candidates some look toxic by chance: an entry counts if its likelihood ratio outdoes their number
-    share, least = n_toxic / (n_toxic + n_clean), 2 * math.log(len(toxic) + 1) + SURE
-
-    def evidence(k: int, c: int) -> float:
-        return 2 * (k * math.log(k / (k + c) / share) + (c * math.log(c / (k + c) / (1 - share)) if c else 0))
-
-    lexicon = tuple(sorted((e, round(w, 6)) for e, w in weight.items() if w >= LEAST_WEIGHT and evidence(toxic[e], clean.get(e, 0)) >= least))
+    lexicon = _lexicon(train, n_toxic, n_clean)
     # the least hashes: a share that leaves a tenth to spare is taken in place, and only features meet to be cut to fit_rows
     below = int(min(1.0, 1.1 * fit_rows / (n_toxic + n_clean)) * 2**32)
     hashed = F.xxhash64("doc_id")
@@ -205,19 +241,25 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return f.select("doc_id", (1 / (1 + F.exp(-z))).alias("score"))
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with the text's score beside every row, repeated rows and null doc_ids included."""
+def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """docs with the text's score, in a column `name`, beside every row, repeated rows and null doc_ids included.
+    ValueError if docs has a column of that name."""
+    if name in docs.columns:
+        raise ValueError(f"a column {name} is there already")
     session(docs.sparkSession)
-    schema = docs.withColumn("f", F.array(F.lit(0.0))).schema
+    own = "__features"
+    while own in docs.columns:
+        own += "_"
+    schema = docs.withColumn(own, F.array(F.lit(0.0))).schema
     place = docs.columns.index("text")
 
     def run(batches):
         a = automaton(model.lexicon, model.exceptions)
         for b in batches:
             f = [features((raw or b"").decode("utf-8", "replace"), a) for raw in b.column(place).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(f, pa.list_(pa.float64()))], names=[*b.schema.names, "f"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(f, pa.list_(pa.float64()))], names=[*b.schema.names, own])
 
     z = F.lit(float(model.weights[-1]))
     for i, x in enumerate(model.weights[:-1]):
-        z = z + F.lit(float(x)) * F.get("f", F.lit(i))
-    return docs.mapInArrow(run, schema).select(*docs.columns, (1 / (1 + F.exp(-z))).alias("score"))
+        z = z + F.lit(float(x)) * F.get(own, F.lit(i))
+    return docs.mapInArrow(run, schema).select(*docs.columns, (1 / (1 + F.exp(-z))).alias(name))
