@@ -29,7 +29,7 @@ from quayside.llm._util import session, shared_dir, table, utf8, written
 
 #: Bytes of the longest n-gram; text bytes of a block; n-grams that a task adds up before it passes them on; n-grams of a
 #: bucket; bytes of keys that ask a copy of a bucket.
-ORDER, BLOCK_BYTES, PASSED_ON, BUCKET, ASKING = 5, 8 << 20, 2_000_000, 1 << 18, 16 << 20
+ORDER, BLOCK_BYTES, PASSED_ON, BUCKET, ASKING = 5, 6 << 20, 2_000_000, 1 << 18, 16 << 20
 #: Bounds of the rules: fewest words; largest share of words in repeated windows, in percent.
 LEAST_WORDS, MOST_REPEATED = 50, 50
 #: A band's two sides, in robust deviations; languages with fewer documents than this have the band of all documents;
@@ -88,12 +88,19 @@ def _keys(read: list[bytes], langs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     """The keys of all n-grams of ORDER bytes, text by text, and how many each text has. read: text_bytes of the texts."""
     sizes = np.array([len(t) - ORDER + 1 for t in read], np.int64)
     a = np.frombuffer(b"".join(read), np.uint8)
-    key = np.zeros(len(a), np.uint64)
-    for k in range(ORDER):  # a place's n-gram ends there
-        key[k:] |= a[: len(a) - k].astype(np.uint64) << np.uint64(8 * k)
-    # the places of a text that have ORDER bytes before their end
-    ends = np.repeat(np.cumsum(sizes + ORDER - 1) - (sizes + ORDER - 1) + ORDER - 1 - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-    return key[ends] | (np.repeat(langs.astype(np.uint64), sizes) << np.uint64(40)), sizes
+    key = a.astype(np.uint64)
+    for k in range(1, ORDER):  # a place's n-gram ends there
+        one = a[: len(a) - k].astype(np.uint64)
+        one <<= np.uint64(8 * k)
+        key[k:] |= one
+    # the places of a text that have ORDER bytes up to them
+    whole = np.ones(len(a), bool)
+    starts = np.cumsum(sizes + ORDER - 1) - (sizes + ORDER - 1)
+    for k in range(ORDER - 1):
+        whole[starts + k] = False
+    key = key[whole]
+    key |= np.repeat(langs.astype(np.uint64) << np.uint64(40), sizes)
+    return key, sizes
 
 
 def _packed(a: np.ndarray) -> bytes:
@@ -129,7 +136,10 @@ def _blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
         def block():
             texts = [text_bytes(r[2]) for r in held]
             langs = np.array([r[3] for r in held], np.int32)
-            keys, counts = np.unique(_keys(texts, langs)[0], return_counts=True)
+            every, _ = _keys(texts, langs)
+            every.sort()
+            first = np.flatnonzero(np.r_[True, every[1:] != every[:-1]])
+            keys, counts = every[first], np.diff(np.r_[first, len(every)])
             rows = [dict(zip(_MEASURES, (r[0], r[1], *measures(r[2])))) for r in held]
             pressed = zstandard.compress(b"".join(texts), 6)
             return table(BLOCKS, [part << 32 | k], [rows], [pressed], [[len(t) for t in texts]], [langs], [_packed(keys)], [zstandard.compress(counts.astype(np.uint32).tobytes(), 1)])
@@ -326,7 +336,8 @@ def perplexities(blocks: DataFrame, grams: DataFrame) -> DataFrame:
             steps[bucket == i] = np.frombuffer(zstandard.decompress(p), np.uint16)
         text, ends = zstandard.decompress(row["texts"]), np.cumsum(row["sizes"]).tolist()
         keys, sizes = _keys([text[a:z] for a, z in zip([0, *ends[:-1]], ends)], np.array(row["langs"]))
-        mean = np.add.reduceat(steps[np.searchsorted(distinct, keys)], np.cumsum(sizes) - sizes) / sizes / FINE
+        ends = np.cumsum(sizes)
+        mean = np.array([steps[np.searchsorted(distinct, keys[z - n : z])].sum() for z, n in zip(ends.tolist(), sizes.tolist())]) / sizes / FINE
         rows = row["rows"]
         return pa.Table.from_batches([table(schema, *[[r[c] for r in rows] for c in _MEASURES], mean)])
 
