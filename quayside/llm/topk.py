@@ -4,23 +4,24 @@ Rows are dealt into blocks; a block keeps each attribute's quantised value as bi
 per attribute and bit. For a block of queries, the slices that a query's weights select are added by full adders on
 whole bitmaps, which leaves the score in bit slices. From the most significant slice downward the k-th largest score
 is found; rows within the quantisation's error of it are the boundary, and are resolved by exact integer products.
+Queries travel to the index in piles of bounded size; the index stays where it is, and a task returns k rows a query.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quayside.llm._util import session, table, written
+from quayside.llm._util import Best, best_rows, in_piles, session, table, written
 from quayside.llm.vectors import whole
 
 #: Bits of an attribute that are sliced; the rest is the boundary's error.
 SLICED = 6
 ROWS, QUERIES = 8192, 256
-#: Query piles that meet a block of the index at a time.
-PILES = 64
+#: Bytes of queries that meet the index at a time.
+PILE_BYTES = 4 << 20
 #: Bounds of a score: what is beyond counts as the nearest of these.
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
@@ -78,7 +79,7 @@ def _at_least(slices: list[np.ndarray], bound: np.ndarray, rows: np.ndarray) ->
 
 
 def block_top(ids, values, slices, shift, query_ids, queries, k):
-    """(query id, row id, score) of each query's k best rows of a block, ties to smaller ids."""
+    """(query id, row ids, scores) for each query: its k best rows of a block, ties to smaller ids."""
     n, d = values.shape
     words = slices.shape[2]
     all_rows = np.zeros(words, np.uint64)
@@ -127,8 +128,8 @@ def block_top(ids, values, slices, shift, query_ids, queries, k):
         rows = np.flatnonzero(np.unpackbits(near[i].view(np.uint8), bitorder="little")[:n])
         score = values[rows] @ queries[i]
         top = np.lexsort((ids[rows], -score))[:k]
-        out.append((np.full(len(top), query_ids[i]), ids[rows][top], score[top]))
-    return tuple(np.concatenate(x) for x in zip(*out))
+        out.append((query_ids[i], ids[rows][top], score[top]))
+    return out
 
 
 def wide_top(ids, values, query_ids, queries, k):
@@ -136,9 +137,9 @@ def wide_top(ids, values, query_ids, queries, k):
     rows, out = [[int(x) for x in r] for r in values], []
     for q, own in zip(query_ids.tolist(), queries):
         q_row = [int(x) for x in own]
-        scored = sorted((-min(max(sum(a * b for a, b in zip(q_row, r)), LEAST), MOST), i) for i, r in zip(ids.tolist(), rows) if i != q)
-        out += [(q, i, -s) for s, i in scored[:k]]
-    return tuple(np.array([x[c] for x in out], np.int64) for c in range(3))
+        scored = sorted((-min(max(sum(a * b for a, b in zip(q_row, r)), LEAST), MOST), i) for i, r in zip(ids.tolist(), rows) if i != q)[:k]
+        out.append((q, np.array([i for _, i in scored], np.int64), np.array([-s for s, _ in scored], np.int64)))
+    return out
 
 
 def quantised(vectors: DataFrame, scale: int = 1024, *more: str) -> DataFrame:
@@ -167,56 +168,58 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
     """
     spark = vectors.sparkSession
     session(spark)
-    rows, n_rows = _dealt(written(quantised(vectors, scale)), ROWS)
-    asked, n_asked = _dealt(written(quantised(queries, scale)), QUERIES)
-
-    def matrix(group):
-        col = group.column("v").combine_chunks()
-        return np.asarray(col.flatten()).reshape(len(col), -1), np.asarray(group.column("vec_id"))
+    # rows whose products may not fit a long have blocks of their own
+    wide = F.aggregate("v", F.lit(0.0), lambda m, x: F.greatest(m, F.abs(x))) >= F.sqrt(F.lit(2.0**62) / F.size("v"))
+    rows, _ = _dealt(written(quantised(vectors, scale).withColumns({"dims": F.size("v"), "wide": wide})), ROWS)
 
     def build(group: pa.Table) -> pa.Table:
-        v, ids = matrix(group)
-        if np.abs(v).max() < 2.0**53:
+        v, ids = np.asarray(group.column("v").combine_chunks().flatten()).reshape(group.num_rows, -1), np.asarray(group.column("vec_id"))
+        if group.column("wide")[0].as_py():
+            shift, s = 0, None
+        else:
             whole_ = v.astype(np.int64)
             lowest = int(whole_.min())
             span = int(whole_.max()) - lowest
             shift = max(0, span.bit_length() - SLICED)
             s = _slices(((whole_ - lowest) >> shift).astype(np.uint16), max(1, (span >> shift).bit_length())).tobytes()
-        else:
-            shift, s = 0, None
         return pa.Table.from_batches([table(INDEX, [int(group.column("block")[0].as_py())], [v.shape[1]], [shift], [ids.astype(np.int64).tobytes()], [v.tobytes()], [s])])
 
-    def pile(group: pa.Table) -> pa.Table:
-        v, ids = matrix(group)
-        return pa.table({"qblock": [int(group.column("block")[0].as_py())], "dims": pa.array([v.shape[1]], pa.int32()), "qids": [ids.astype(np.int64).tobytes()], "qs": [v.tobytes()]})
-
-    dims = F.size("v").alias("dims")
-    index = written(rows.select("block", "vec_id", "v", dims).groupBy("block", "dims").applyInArrow(build, "block long, dims int, shift int, ids binary, values binary, slices binary"))
-    piles = written(asked.select("block", "vec_id", "v", dims).groupBy("block", "dims").applyInArrow(pile, "qblock long, dims int, qids binary, qs binary"))
-    # every pile of queries meets every block of rows once: PILES of them at a time, so the piles travel, not the index
-    turns, blocks = -(-n_asked // PILES), F.sequence(F.lit(0).cast("long"), F.lit(n_rows - 1).cast("long"))
-    here = index.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(max(turns, 1) - 1))))
-    sent = piles.withColumn("turn", F.floor(F.col("qblock") / PILES).cast("int")).withColumn("block", F.explode(blocks))
-    found = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
-
-    def meet(own: pa.Table, asks: pa.Table) -> pa.Table:
-        out = []
-        for p in own.to_pylist():
-            d = p["dims"]
-            v, ids = np.frombuffer(p["values"]).reshape(-1, d), np.frombuffer(p["ids"], np.int64)
-            for a in asks.to_pylist():
-                if a["dims"] != d:
+    grouped = rows.select("block", "vec_id", "v", "dims", "wide").groupBy("block", "dims", "wide")
+    index = written(grouped.applyInArrow(build, "block long, dims int, shift int, ids binary, values binary, slices binary"))
+    asked = quantised(queries, scale).withColumns({"dims": F.size("v"), "wide": wide, "number": F.monotonically_increasing_id(), "size": 8 * F.size("v") + 64})
+    found, out = pa.schema([("number", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())]), None
+    for pile in in_piles(asked, "size", PILE_BYTES):
+        # queries of one length and kind together, QUERIES at a time
+        parts = []
+        dims, kinds = np.asarray(pile.column("dims")), np.asarray(pile.column("wide"))
+        for d in np.unique(dims).tolist():
+            for kind in (False, True):
+                own = pile.filter(pa.array((dims == d) & (kinds == kind))).combine_chunks()
+                if not own.num_rows:
                     continue
-                qids, q = np.frombuffer(a["qids"], np.int64), np.frombuffer(a["qs"]).reshape(-1, d)
-                if p["slices"] is None or d * float(np.abs(v).max()) * float(np.abs(q).max()) >= 2.0**62:
-                    got = wide_top(ids, v, qids, q, k)
-                else:
-                    s = np.frombuffer(p["slices"], np.uint64).reshape(d, -1, -(-len(ids) // 64))
-                    got = block_top(ids, v.astype(np.int64), s, p["shift"], qids, q.astype(np.int64), k)
-                out.append(table(found, *got))
-        return pa.Table.from_batches(out, schema=found)
-
-    keys = ["block", "turn", "dims"]
-    best = here.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInArrow(meet, "query_id long, vec_id long, score long")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                v, ids, numbers = np.asarray(own.column("v").combine_chunks().flatten()).reshape(-1, d), np.asarray(own.column("vec_id")), np.asarray(own.column("number"))
+                parts += [(d, kind, ids[i : i + QUERIES], v[i : i + QUERIES], numbers[i : i + QUERIES]) for i in range(0, own.num_rows, QUERIES)]
+
+        def meet(batches, parts=parts):
+            best: dict[tuple[int, int], Best] = {}
+            for b in batches:
+                for p in b.to_pylist():
+                    d = p["dims"]
+                    v, ids = np.frombuffer(p["values"]).reshape(-1, d), np.frombuffer(p["ids"], np.int64)
+                    for dims_, wide_, qids, q, numbers in parts:
+                        if dims_ != d:
+                            continue
+                        if wide_ or p["slices"] is None:
+                            got = wide_top(ids, v, qids, q, k)
+                        else:
+                            s = np.frombuffer(p["slices"], np.uint64).reshape(d, -1, -(-len(ids) // 64))
+                            got = block_top(ids, v.astype(np.int64), s, p["shift"], qids, q.astype(np.int64), k)
+                        for i, (_, own, score) in enumerate(got):
+                            best.setdefault((int(numbers[i]), int(qids[i])), Best(k)).add(score, own)
+            for (number, query), top in best.items():
+                yield table(found, np.full(len(top.ids), number), np.full(len(top.ids), query), top.ids, top.score)
+
+        made = best_rows(index.select("dims", "shift", "ids", "values", "slices").mapInArrow(meet, "number long, query_id long, vec_id long, score long"), ["number"], "vec_id", k)
+        made = made.select("query_id", "rank", "vec_id", "score")
+        out = made if out is None else out.unionByName(made)
+    return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long") if out is None else out

@@ -41,7 +41,7 @@ def test_topk_of_any_size(spark, size):
 def test_topk_in_many_blocks_and_turns(spark, monkeypatch):
     monkeypatch.setattr(topk, "ROWS", 7)
     monkeypatch.setattr(topk, "QUERIES", 2)
-    monkeypatch.setattr(topk, "PILES", 2)
+    monkeypatch.setattr(topk, "PILE_BYTES", 200)
     r = random.Random(4)
     rows = [(i * 20, [r.uniform(-1, 1) for _ in range(3)]) for i in range(60)]
     df = vectors(spark, rows)
