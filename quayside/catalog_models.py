@@ -242,19 +242,6 @@ _add(
 )
 
 
-def _walked(s, d):
-    """Direct and recursive ridge by fitted models at the last two origins, from the store."""
-    from quayside.plans import evaluate
-
-    state = written(base._state(s, d))
-    strategies = {"direct": walk.direct_strategy(written(direct.direct_panel(state)), "ridge"), "recursive": walk.recursive_strategy(state, "ridge", horizons=3)}
-    rows = walk.walk_stored(_wanted(s, strategies, ORIGINS[-2:]), strategies, _store(s))
-    return rows.where(F.coalesce("available", F.lit(False))).groupBy("strategy", "origin_type", "origin").agg(*evaluate.metrics())
-
-
-_add("pnl5_6_fitted_strategies", _walked)
-
-
 def _recursed(s, d):
     """One-step ridges at two origins, three days ahead, in three rounds for both."""
     state = written(base._state(s, d))
@@ -282,7 +269,6 @@ def _modelled(kind: str, inputs, trees: int = 10, seeds: tuple[int, ...] = (42,)
 
 _add("mdl9_category_trees_of_10", _modelled("trees_a", models.CATEGORICAL))
 _add("mdl3_fine_trees_of_10", _modelled("trees_b", models.CATEGORICAL))
-_add("mdl5_factor_ids_three_seeds", _modelled("factor", models.SMALL, seeds=(42, 43, 44)))
 _add("mdl1_prj22_wide_ridge", _modelled("ridge", models.WIDE, wide=True))
 
 # report tables ------------------------------------------------------------------------------------------------------
