@@ -5,8 +5,7 @@ states, the n-grams seen its arcs. A state h that was left c(h) times takes its
 (c(hw) + m * p(w | shorter state)) / (c(h) + m); its failure arc leads to the shorter state with weight
 m / (c(h) + m). The root has an arc for every word, of the base model's probability. One walk from left to right
 carries the state (the longest suffix that is one), follows failure arcs until there is an arc, and adds up log
-probabilities. The state after a token depends on the last tokens only, so that a walk takes all its steps as array
-operations, an order at a time.
+probabilities. The texts of a block are walked in step, with a state each, so that a step is a few array operations.
 
 The counts grow with the corpus, so no task, and not the driver, ever holds them all. Texts are written in blocks of
 bounded size. A block passes on its distinct n-grams, as sorted hashes in buckets; a bucket's task adds them up over
@@ -33,6 +32,8 @@ from quayside.llm._util import session, table, utf8, written
 END = b" "
 #: Words of the longest n-gram; mass of the shorter state, by order from 2 on; text bytes of a block and of a bucket.
 ORDER, MASS, BLOCK_BYTES, BUCKET_BYTES = 3, (300.0, 100.0), 8 << 20, 4 << 20
+#: Tokens that a walk takes at once of a text; a longer text is walked at several places in step.
+STRETCH = 64
 #: Bits of a longer n-gram's hash: of 10^13 distinct ones, one in 7,000 shares its count with another.
 KEY_BITS = 56
 
@@ -128,27 +129,96 @@ class Grams:
 
 
 class Automaton:
-    """A block's part: for each place of its texts the training counts of the n-grams that end there (arcs) and of
-    their contexts (states), by order."""
+    """A block's part of the automaton: the states and arcs that its texts can reach.
 
-    def __init__(self, grams: Grams, counts: list[np.ndarray], tokens_: int, distinct: int, mass=MASS):
-        self.grams, self.counts, self.mass = grams, counts, mass
-        self.base = (counts[0] + 0.5) / (tokens_ + 0.5 * (distinct + 1))
+    State 0 is the root; learned words are states, then learned pairs, up to order - 1 words. A state has a failure
+    arc, to the state of all its words but the first, and that arc's weight. The root has an arc for every word; other
+    arcs are sorted by state and word. Every arc has its whole probability and the state it leads to: the longest
+    suffix of state and word that is one.
+    """
 
-    def walk(self) -> tuple[np.ndarray, np.ndarray]:
-        """log10 probability of every place by the root's arcs alone, and by the walk; a text's first end has none."""
+    def __init__(self, grams: Grams, known: np.ndarray, longer, tokens_: int, distinct: int, mass=MASS):
+        """known: training tokens of each word; longer: for each order from 2 on as Grams.placed(), with totals."""
+        self.grams, words = grams, grams.words
+        base = (known + 0.5) / (tokens_ + 0.5 * (distinct + 1))
+        self.root = np.log10(base)
+        is_state = (known > 0) & (grams.order > 1)
+        self.root_to = np.where(is_state, np.cumsum(is_state), 0)
+        seen, failure, weight = [np.zeros(1, np.int64), known[is_state]], [np.zeros(1 + int(is_state.sum()), np.int64)], [np.zeros(1)]
+        keys, arcs, to = [np.full(1, np.iinfo(np.int64).max)], [np.zeros(1)], [np.zeros(1, np.int64)]
+        # of the n-gram of the order before that ends at a place: its state (0: none) and its arc's probability
+        state, p = self.root_to[words], base[words]
+        for n, (at, first, counts) in enumerate(longer, 2):
+            m = mass[min(n - 2, len(mass) - 1)]
+            weight.append(np.log10(m / (seen[-1] + m)))
+            learned = counts > 0
+            end = at[first[learned]]
+            source = state[end - 1]
+            every_seen = np.concatenate(seen)
+            arc = (counts[learned] + m * p[end]) / (every_seen[source] + m)
+            keys.append(source * len(known) + words[end])
+            arcs.append(np.log10(arc))
+            if n == grams.order:
+                to.append(state[end])
+                break
+            own = np.zeros(len(counts), np.int64)
+            own[learned] = len(every_seen) + np.arange(len(end))
+            to.append(own[learned])
+            failure.append(state[end])
+            seen.append(counts[learned])
+            of_gram = np.zeros(len(counts))
+            of_gram[learned] = arc
+            times = np.diff(np.r_[first, len(at)])
+            state, p = np.zeros(len(words), np.int64), np.zeros(len(words))
+            state[at], p[at] = np.repeat(own, times), np.repeat(of_gram, times)
+        keys = np.concatenate(keys)
+        by = np.argsort(keys)
+        self.keys, self.arcs, self.to = keys[by], np.concatenate(arcs)[by], np.concatenate(to)[by]
+        self.failure, self.weight = np.concatenate(failure), np.concatenate(weight)
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One token for each state: failure arcs until there is an arc, then that arc. The states after it, and the
+        log10 probabilities on the way."""
+        state, to, p = state.copy(), np.empty(len(state), np.int64), np.zeros(len(state))
+        left = np.flatnonzero(state)
+        while len(left):
+            want = state[left] * len(self.root) + word[left]
+            by = np.argsort(want)  # ascending, since a search then finds the keys it needs in the cache
+            left, want = left[by], want[by]
+            k = np.searchsorted(self.keys, want)
+            hit = self.keys[k] == want
+            there, k = left[hit], k[hit]
+            p[there] += self.arcs[k]
+            to[there] = self.to[k]
+            state[there] = -1
+            left = left[~hit]
+            p[left] += self.weight[state[left]]
+            state[left] = self.failure[state[left]]
+            left = left[state[left] > 0]
+        there = np.flatnonzero(state == 0)
+        p[there] += self.root[word[there]]
+        to[there] = self.root_to[word[there]]
+        return to, p
+
+    def walk(self) -> np.ndarray:
+        """log10 probability of each text. Texts are walked in stretches, all of them in step; a stretch reads the
+        order - 1 tokens before it without counting them, which leads to the state that the text arrives in."""
         g = self.grams
-        p = self.base[g.words]
-        root, ends = np.log10(p), self.counts[0][g.words]
-        for n in range(2, g.order + 1):
-            # the state: the n - 1 words before, if these were ever learned; the arc: the n-gram, if ever learned
-            state = np.r_[0, ends[:-1]] * (g.place >= n - 1)
-            arc, m = self.counts[n - 1], self.mass[min(n - 2, len(self.mass) - 1)]
-            p = np.where(state > 0, (arc + m * p) / (state + m), p)
-            ends = arc
-        out = np.log10(p)
-        out[g.start], root[g.start] = 0.0, 0.0
-        return root, out
+        stop = np.r_[g.start[1:], len(g.words)]
+        pieces = -(-(stop - g.start - 1) // STRETCH)
+        text = np.repeat(np.arange(len(g.start)), pieces)
+        counted = g.start[text] + 1 + STRETCH * (np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+        begin = np.maximum(g.start[text], counted - max(1, g.order - 1))
+        size = np.minimum(counted + STRETCH, stop[text]) - begin
+        by = np.argsort(-size, kind="stable")
+        begin, counted, size = begin[by], counted[by], size[by]
+        state, total = np.zeros(len(by), np.int64), np.zeros(len(by))
+        for i in range(int(size[0]) if len(size) else 0):
+            n = np.searchsorted(-size, -i)
+            at = begin[:n] + i
+            state[:n], p = self.step(state[:n], g.words[at])
+            total[:n] += np.where(at >= counted[:n], p, 0.0)
+        return np.bincount(text[by], total, len(g.start))
 
 
 def _blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
@@ -272,18 +342,19 @@ def score(docs: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BYTES, b
             counts[at] = t
         known = np.empty_like(counts)
         known[by] = counts
-        levels = [known]
-        for n, (at, first, counts) in enumerate(g.placed(), 2):
-            for where, t in news.get(n, ()):
-                counts[where] = t
-            level = np.zeros(len(g.words), np.int64)
-            level[at] = np.repeat(counts, np.diff(np.r_[first, len(at)]))
-            levels.append(level)
-        root, walked = Automaton(g, levels, n_train, n_distinct, mass).walk()
-        seen = (known[g.words] > 0) & (g.place > 0)
-        sums = [np.add.reduceat(x, g.start) for x in (seen.astype(np.int64), root, walked)]
+
+        def longer():
+            for n, (at, first, counts) in enumerate(g.placed(), 2):
+                for where, t in news.get(n, ()):
+                    counts[where] = t
+                yield at, first, counts
+
+        automaton = Automaton(g, known, longer(), n_train, n_distinct, mass)
+        counted = g.place > 0
+        n_known = np.add.reduceat(((known[g.words] > 0) & counted).astype(np.int64), g.start)
+        base = np.add.reduceat(np.where(counted, automaton.root[g.words], 0.0), g.start)
         n_tokens = np.diff(np.r_[g.start, len(g.words)]) - 1
-        return pa.Table.from_batches([table(schema, row["doc_ids"], n_tokens, sums[0], np.full(len(n_tokens), n_train), sums[1], sums[2])])
+        return pa.Table.from_batches([table(schema, row["doc_ids"], n_tokens, n_known, np.full(len(n_tokens), n_train), base, automaton.walk())])
 
     asked = blocks.select("block", "doc_ids", "train", "sizes", "texts")
     sent = totals.where("block is not null").select("block", "order", "at", "totals")

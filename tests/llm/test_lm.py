@@ -81,6 +81,42 @@ def test_blocks_and_buckets_change_nothing(spark, order, block_bytes, bucket_byt
         assert got[i].base_score == pytest.approx(sum(math.log10(a.root(w)) for w in [*lm.tokens(t), END]))
 
 
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+@pytest.mark.parametrize("stretch", [1, 2, 7, 64])
+def test_stretches_arrive_in_the_state_of_the_whole_walk(monkeypatch, order, stretch):
+    monkeypatch.setattr(lm, "STRETCH", stretch)
+    mass = (300.0, 100.0, 50.0)
+    rows = _rows(40)
+    g = lm.Grams([t for _, t, _ in rows], [train for _, _, train in rows], order)
+    by, counts = g.unigrams()
+    known = np.empty_like(counts)
+    known[by] = counts
+    a, want = brute(rows, order, mass)
+    assert lm.Automaton(g, known, g.placed(), a.n, a.v, mass).walk() == pytest.approx(want)
+
+
+def test_states_and_failure_arcs():
+    """Learned: "a b" and "b a b". States: the end, a, b, and the pairs of them that were seen."""
+    g = lm.Grams([b"a b", b"b a b"], [True, True], 3)
+    by, counts = g.unigrams()
+    known = np.empty_like(counts)
+    known[by] = counts
+    m = lm.Automaton(g, known, g.placed(), 7, 3)
+    end, a, b = range(3)
+    state = {(w,): int(m.root_to[w]) for w in (end, a, b)}
+    assert sorted(state.values()) == [1, 2, 3] and not m.failure[:4].any()
+    for u, w in [(end, a), (end, b), (a, b), (b, a), (b, end)]:
+        to, _ = m.step(np.array([state[u,]]), np.array([w]))
+        state[u, w] = int(to[0])
+        assert m.failure[to[0]] == state[w,] and to[0] > 3
+    assert len(m.failure) == 1 + 3 + 5
+    # no arc for a after (end, a), nor after a: two failure arcs, then the root's
+    to, p = m.step(np.array([state[end, a]]), np.array([a]))
+    assert to[0] == state[a,] and p[0] == pytest.approx(math.log10(100 / 101 * 300 / 302 * 2.5 / 9))
+    # an arc of the last order leads to the pair at its end
+    assert m.step(np.array([state[end, b]]), np.array([a]))[0][0] == state[b, a]
+
+
 def test_query_against_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
     rows = [(r.doc_id, (r.text or "").encode(), zlib.crc32(str(r.doc_id).encode()) % 5 != 1) for r in docs]
