@@ -75,7 +75,9 @@ def _bounds(s, d):
     return models.residual_bounds(p)
 
 
-_add("pnl9_residual_bounds", _bounds, f"{_ONE_STEP}, q AS (SELECT quantile_cont(ln(1 + quantity) - ln(1 + target_baseline), [0.001, 0.999]) AS q FROM t WHERE origin IS NOT NULL AND available AND quantity IS NOT NULL AND target_baseline IS NOT NULL AND date_key <= DATE '2000-12-03') SELECT {_r('q[1] - 1', 'lower')}, {_r('q[2] + 1', 'upper')} FROM q")
+#: The log residuals' quantiles q of one-step rows up to a day.
+_BOUNDS = "SELECT quantile_cont(ln(1 + quantity) - ln(1 + target_baseline), {}) AS q FROM (" + _ONE_STEP.removeprefix(_LAGGED + ", t AS (").removesuffix(")") + ") WHERE origin IS NOT NULL AND available AND quantity IS NOT NULL AND target_baseline IS NOT NULL AND date_key <= DATE '{}'"
+_add("pnl9_residual_bounds", _bounds, f"{_LAGGED}, q AS ({_BOUNDS.format('[0.001, 0.999]', '2000-12-03')}) SELECT {_r('q[1] - 1', 'lower')}, {_r('q[2] + 1', 'upper')} FROM q")
 
 
 def _step_by_step(s, d):

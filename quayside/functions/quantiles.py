@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,6 +43,34 @@ def exact_quantiles(df: DataFrame, column: str, wanted: dict[str, float]) -> Dat
     return df.sparkSession.range(1).select(*[F.lit(float(v)).alias(k) for k, v in out.items()])
 
 
+def group_quantiles(df: DataFrame, keys: list[str], column: str, wanted: dict[str, float]) -> DataFrame:
+    """keys and the linear-interpolated quantiles of the column's known values, by name, for every group with any.
+
+    Groups may be few and as large as the table: all rows are sorted by keys and value over range partitions and written;
+    a group's counts by partition give its first value's rank in each. NaN counts as a value above all others.
+    """
+    kept = df.select(*keys, F.col(column).cast("double").alias("v")).where("v is not null").orderBy(*keys, "v")
+    at = F.monotonically_increasing_id()
+    rows = written(kept.select(*keys, "v", F.shiftright(at, 33).alias("part"), at.alias("at")))
+    group = F.struct(*keys)
+    counts = rows.groupBy(group.alias("g"), F.col("part").alias("p")).agg(F.count("*").alias("n"), F.min("at").alias("start"))
+    # a row per group and partition that it lies in
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("g").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.withColumns({"before": before, "total": F.sum("n").over(Window.partitionBy("g"))})
+    placed = rows.withColumn("__g", group).join(counts, F.col("__g").eqNullSafe(F.col("g")) & (F.col("part") == F.col("p")))
+    placed = placed.withColumn("rank", F.col("at") - F.col("start") + F.col("before"))
+    place = {k: (F.col("total") - 1) * F.lit(float(q)) for k, q in wanted.items()}
+    near = [F.col("rank").between(F.floor(p), F.floor(p) + 1) for p in place.values()]
+    found = placed.where(reduce(lambda a, b: a | b, near)).groupBy("g").agg(
+        *[F.max(F.when(F.col("rank") == F.floor(p), F.col("v"))).alias(f"low_{k}") for k, p in place.items()],
+        *[F.max(F.when(F.col("rank") == F.floor(p) + 1, F.col("v"))).alias(f"high_{k}") for k, p in place.items()],
+        *[F.max(p - F.floor(p)).alias(f"part_{k}") for k, p in place.items()],
+    )
+    low, high, part = (lambda k: F.col(f"low_{k}")), (lambda k: F.col(f"high_{k}")), (lambda k: F.col(f"part_{k}"))
+    value = {k: F.when((part(k) == 0) | (low(k) == high(k)), low(k)).otherwise(low(k) + part(k) * (high(k) - low(k))) for k in wanted}
+    return found.select("g.*", *[v.alias(k) for k, v in value.items()])
+
+
 def share_at_or_below(rows: DataFrame, reference: DataFrame, column: str, name: str) -> DataFrame:
     """rows with `name`: the share of the reference's known values of `column` that are at or under the row's own (null
     where the row has none, or the reference).

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quayside.functions.scalar import finite, weighted_present
+from quayside.functions.scalar import finite, safe_log_ratio, weighted_present
 from quayside.operators.windows import channel_history, days
 from quayside.plans.direct import direct_panel
 from quayside.sources.panel import sanitize_future
@@ -34,6 +34,12 @@ def mean_step(width: int = 28) -> Callable[[Column], Column]:
     return step
 
 
+def growth_step(history: Column) -> Column:
+    """The last value, grown as it has over the last week; null where a week ago nothing is known or was sold."""
+    last = _ago(history, 1)
+    return last * last / F.nullif(_ago(history, 8), F.lit(0.0))
+
+
 def _ago(history: Column, d: int) -> Column:
     """The value d days before the day after the history's last."""
     return F.get(history, F.size(history) - d)
@@ -82,15 +88,31 @@ def guarded(pred: Column, baseline: Column, last: Column, limit: Column) -> dict
     return {"pred": F.greatest(F.when(bad | wild, instead).otherwise(pred), F.lit(0.0)), "fallback_used": bad | wild, "nonfinite": bad, "catastrophic": wild, "safety_limit": limit}
 
 
-def forecast(state: DataFrame, origins: list[str], step: Callable[[Column], Column] | None = None, horizons: int = 7) -> DataFrame:
-    """product_id, origin, horizon, target_date, pred and the guards (`guarded`) of every step."""
+def bounded(pred: Column, baseline: Column, bounds: tuple[float, float]) -> dict[str, Column]:
+    """A step's value with its log residual over the baseline kept within the bounds that the training residuals support,
+    whether that changed it, and the residual as it was."""
+    residual = finite(safe_log_ratio(pred, baseline))
+    low, high = (F.lit(float(b)) for b in bounds)
+    out = F.coalesce((residual < low) | (residual > high), F.lit(False))
+    kept = F.expm1(F.log1p(baseline) + F.greatest(low, F.least(high, residual)))
+    return {"pred": F.when(out, kept).otherwise(pred), "residual_guard": out, "residual_nonfinite": residual.isNull(), "residual": residual}
+
+
+def forecast(state: DataFrame, origins: list[str], step: Callable[[Column], Column] | None = None, horizons: int = 7, bounds: tuple[float, float] | None = None) -> DataFrame:
+    """product_id, origin, horizon, target_date, pred and the guards (`guarded`) of every step; with bounds also those of
+    `bounded`, which come first."""
     step = step or mean_step()
-    kind = "struct<pred:double,fallback_used:boolean,nonfinite:boolean,catastrophic:boolean,safety_limit:double>"
+    kind = "struct<pred:double,fallback_used:boolean,nonfinite:boolean,catastrophic:boolean,safety_limit:double"
+    kind += ",residual_guard:boolean,residual_nonfinite:boolean,residual:double>" if bounds else ">"
+
+    def guards(x: Column) -> Column:
+        kept = bounded(x["step"], x["base"], bounds) if bounds else {"pred": x["step"]}
+        made = guarded(kept.pop("pred"), x["base"], x["last"], safety_limit(F.col("top"), x["base"]))
+        return F.struct(*[v.alias(k) for k, v in {**made, **kept}.items()]).cast(kind)
 
     def grow(acc: Column, _: Column) -> Column:
         h = acc["h"]
-        guard = lambda x: F.struct(*[v.alias(k) for k, v in guarded(x["step"], x["base"], F.element_at(h, -1), safety_limit(F.col("top"), x["base"])).items()]).cast(kind)
-        made = _once(F.struct(step(h).cast("double").alias("step"), baseline_of(h).alias("base")), guard)
+        made = _once(F.struct(step(h).cast("double").alias("step"), baseline_of(h).alias("base"), F.element_at(h, -1).alias("last")), guards)
         return _once(made, lambda m: F.struct(F.concat(h, F.array(m["pred"])).alias("h"), F.concat(acc["out"], F.array(m)).alias("out")))
 
     start = F.struct(F.col("history").alias("h"), F.array().cast(f"array<{kind}>").alias("out"))
