@@ -143,9 +143,9 @@ class Automaton:
         base = (known + 0.5) / (tokens_ + 0.5 * (distinct + 1))
         self.root = np.log10(base)
         is_state = (known > 0) & (grams.order > 1)
-        self.root_to = np.where(is_state, np.cumsum(is_state), 0)
-        seen, failure, weight = [np.zeros(1, np.int64), known[is_state]], [np.zeros(1 + int(is_state.sum()), np.int64)], [np.zeros(1)]
-        keys, arcs, to = [np.full(1, np.iinfo(np.int64).max)], [np.zeros(1)], [np.zeros(1, np.int64)]
+        self.root_to = np.where(is_state, np.cumsum(is_state), 0).astype(np.int32)
+        seen, failure, weight = [np.zeros(1, np.int64), known[is_state]], [np.zeros(1 + int(is_state.sum()), np.int32)], [np.zeros(1)]
+        keys, arcs, to = [np.full(1, np.iinfo(np.int64).max)], [np.zeros(1)], [np.zeros(1, np.int32)]
         # of the n-gram of the order before that ends at a place: its state (0: none) and its arc's probability
         state, p = self.root_to[words], base[words]
         for n, (at, first, counts) in enumerate(longer, 2):
@@ -156,12 +156,12 @@ class Automaton:
             source = state[end - 1]
             every_seen = np.concatenate(seen)
             arc = (counts[learned] + m * p[end]) / (every_seen[source] + m)
-            keys.append(source * len(known) + words[end])
+            keys.append(source.astype(np.int64) * len(known) + words[end])
             arcs.append(np.log10(arc))
             if n == grams.order:
                 to.append(state[end])
                 break
-            own = np.zeros(len(counts), np.int64)
+            own = np.zeros(len(counts), np.int32)
             own[learned] = len(every_seen) + np.arange(len(end))
             to.append(own[learned])
             failure.append(state[end])
@@ -169,8 +169,9 @@ class Automaton:
             of_gram = np.zeros(len(counts))
             of_gram[learned] = arc
             times = np.diff(np.r_[first, len(at)])
-            state, p = np.zeros(len(words), np.int64), np.zeros(len(words))
+            state, p = np.zeros(len(words), np.int32), np.zeros(len(words))
             state[at], p[at] = np.repeat(own, times), np.repeat(of_gram, times)
+        del state, p
         keys = np.concatenate(keys)
         by = np.argsort(keys)
         self.keys, self.arcs, self.to = keys[by], np.concatenate(arcs)[by], np.concatenate(to)[by]
@@ -179,10 +180,10 @@ class Automaton:
     def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One token for each state: failure arcs until there is an arc, then that arc. The states after it, and the
         log10 probabilities on the way."""
-        state, to, p = state.copy(), np.empty(len(state), np.int64), np.zeros(len(state))
+        state, to, p = state.copy(), np.empty(len(state), np.int32), np.zeros(len(state))
         left = np.flatnonzero(state)
         while len(left):
-            want = state[left] * len(self.root) + word[left]
+            want = state[left].astype(np.int64) * len(self.root) + word[left]
             by = np.argsort(want)  # ascending, since a search then finds the keys it needs in the cache
             left, want = left[by], want[by]
             k = np.searchsorted(self.keys, want)
@@ -212,7 +213,7 @@ class Automaton:
         size = np.minimum(counted + STRETCH, stop[text]) - begin
         by = np.argsort(-size, kind="stable")
         begin, counted, size = begin[by], counted[by], size[by]
-        state, total = np.zeros(len(by), np.int64), np.zeros(len(by))
+        state, total = np.zeros(len(by), np.int32), np.zeros(len(by))
         for i in range(int(size[0]) if len(size) else 0):
             n = np.searchsorted(-size, -i)
             at = begin[:n] + i
@@ -338,14 +339,14 @@ def score(docs: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BYTES, b
         for n, at, t in zip(sent.column("order").to_pylist(), sent.column("at").to_pylist(), sent.column("totals").to_pylist()):
             news.setdefault(n, []).append((_unpacked(at).astype(np.int64), _widened(t).astype(np.int64)))
         by, counts = g.unigrams()
-        for at, t in news.get(1, ()):
+        for at, t in news.pop(1, ()):
             counts[at] = t
         known = np.empty_like(counts)
         known[by] = counts
 
         def longer():
             for n, (at, first, counts) in enumerate(g.placed(), 2):
-                for where, t in news.get(n, ()):
+                for where, t in news.pop(n, ()):
                     counts[where] = t
                 yield at, first, counts
 
