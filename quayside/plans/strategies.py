@@ -131,7 +131,7 @@ def accepted_ensembles(scores: DataFrame, least: float = 0.002, name: str = "ens
 def canonical(scores: DataFrame, accepted: DataFrame, model: str | None = None, strategy: str | None = None, metric: str = "wape", name: str = "ensemble") -> DataFrame:
     """One row, the model and strategy to go on with: least metric, ties by name.
 
-    scores: strategy, model, metric. model: the one that was asked for; else any, an ensemble only in strategies that
+    scores: strategy, model, metric; a null metric takes no part. model: the one that was asked for; else any, an ensemble only in strategies that
     `accepted` lists. strategy: likewise. No row if the model has no scores in the strategy.
     """
     rows = scores.where(F.col(metric).isNotNull())
