@@ -12,6 +12,11 @@ bounded size. A block passes on its distinct n-grams, as sorted hashes in bucket
 all blocks and sends back only the totals that a block does not know already, those of n-grams that other blocks have
 too. A block then builds its own part of the automaton and walks its texts. Words are named by 128 bits of their
 hash, longer n-grams by KEY_BITS.
+
+A block never cuts its n-grams into more than 2^FAN_BITS buckets, so that its rows keep hundreds of keys each however
+large the corpus is. Where more buckets are needed, blocks form teams: a team's bucket is added up by itself, passes
+its distinct n-grams on as a block does, by the next FAN_BITS of their hashes, and deals the totals that come back to
+its blocks. Each round more serves 2^FAN_BITS times the text: one up to 34 GB, two up to 280 TB.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quayside.llm._util import session, table, utf8, written
@@ -34,6 +39,8 @@ END = b" "
 ORDER, MASS, BLOCK_BYTES, BUCKET_BYTES = 3, (300.0, 100.0), 8 << 20, 4 << 20
 #: Tokens that a walk takes at once of a text; a longer text is walked at several places in step.
 STRETCH = 64
+#: A block's n-grams go to 2^FAN_BITS buckets at most, and so do those of a team's bucket.
+FAN_BITS = 13
 #: Bits of a longer n-gram's hash: of 10^13 distinct ones, one in 7,000 shares its count with another.
 KEY_BITS = 56
 
@@ -257,64 +264,112 @@ def _grams(row: dict, order: int) -> Grams:
 
 _PASSED = pa.schema([("order", pa.int32()), ("bucket", pa.int64()), ("block", pa.int64()), ("first", pa.int64()), ("keys", pa.binary()), ("more", pa.binary()), ("counts", pa.binary())])
 _TOTALS = pa.schema([("block", pa.int64()), ("order", pa.int32()), ("at", pa.binary()), ("totals", pa.binary()), ("tokens", pa.int64()), ("distinct", pa.int64())])
+_PASSED_DDL = "order int, bucket long, block long, first long, keys binary, more binary, counts binary"
+_TOTALS_DDL = "block long, order int, at binary, totals binary, tokens long, distinct long"
+
+
+def _parts(n: int, block: int, keys: np.ndarray, more: np.ndarray | None, counts: np.ndarray, bits: int):
+    """A block's n-grams of one order, ascending by key, as rows by bucket (a hash's first bits)."""
+    bucket = (keys >> np.uint64((64 if n == 1 else KEY_BITS) - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+    edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]).tolist() if len(keys) else []
+    for i in range(0, len(edge) - 1, 512):
+        own = list(zip(edge[i : i + 512], edge[i + 1 : i + 513]))
+        m = len(own)
+        yield table(_PASSED, [n] * m, [int(bucket[a]) for a, _ in own], [block] * m, [a for a, _ in own], [_packed(keys[a:z]) for a, z in own],
+                    [None if more is None else more[a:z].tobytes() for a, z in own], [_squeezed(counts[a:z]) for a, z in own])
 
 
 def _passed_on(blocks: DataFrame, order: int, bits: int) -> DataFrame:
-    """Every block's distinct n-grams by order and bucket (a hash's first bits): where the bucket's first stands in
-    the block's order, keys, the words' other 64 bits, and training counts."""
-
-    def parts(n, block, keys, more, counts):
-        bucket = (keys >> np.uint64((64 if n == 1 else KEY_BITS) - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
-        edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]).tolist() if len(keys) else []
-        for i in range(0, len(edge) - 1, 512):
-            own = list(zip(edge[i : i + 512], edge[i + 1 : i + 513]))
-            m = len(own)
-            yield table(_PASSED, [n] * m, [int(bucket[a]) for a, _ in own], [block] * m, [a for a, _ in own], [_packed(keys[a:z]) for a, z in own],
-                        [None if more is None else more[a:z].tobytes() for a, z in own], [_squeezed(counts[a:z]) for a, z in own])
+    """Every block's distinct n-grams by order and bucket: where the bucket's first stands in the block's order, keys,
+    the words' other 64 bits, and training counts."""
 
     def run(batches):
         for b in batches:
             for row in b.to_pylist():
                 g = _grams(row, order)
                 by, counts = g.unigrams()
-                yield from parts(1, row["block"], g.high[by], g.low[by], counts)
+                yield from _parts(1, row["block"], g.high[by], g.low[by], counts, bits)
                 for n, (keys, counts) in enumerate(g.longer(), 2):
-                    yield from parts(n, row["block"], keys, None, counts)
-
-    return blocks.select("block", "train", "sizes", "texts").mapInArrow(run, "order int, bucket long, block long, first long, keys binary, more binary, counts binary")
-
-
-def _added_up(group: pa.Table) -> pa.Table:
-    """A bucket's totals over all blocks: to each block those that differ from its own counts; of words also a row
-    without a block, with their tokens and how many were learned."""
-    n = group.column("order")[0].as_py()
-    keys = [_unpacked(x) for x in group.column("keys").to_pylist()]
-    size = np.array([len(k) for k in keys])
-    at = np.concatenate([np.arange(a, a + s) for a, s in zip(group.column("first").to_pylist(), size.tolist())])
-    own = np.concatenate([_widened(x) for x in group.column("counts").to_pylist()]).astype(np.int64)
-    block = np.repeat(np.asarray(group.column("block")), size)
-    key = np.concatenate(keys)
-    if n == 1:
-        more = np.concatenate([np.frombuffer(x, np.uint64) for x in group.column("more").to_pylist()])
-        by = np.lexsort((more, key))
-        new = np.r_[True, (key[by][1:] != key[by][:-1]) | (more[by][1:] != more[by][:-1])]
-    else:
-        by = np.argsort(key, kind="stable")
-        new = np.r_[True, key[by][1:] != key[by][:-1]]
-    first = np.flatnonzero(new)
-    total = np.add.reduceat(own[by], first)
-    every = np.empty(len(key), np.int64)
-    every[by] = np.repeat(total, np.diff(np.r_[first, len(key)]))
-    differ = np.flatnonzero(every != own)
-    differ = differ[np.lexsort((at[differ], block[differ]))]
-    edge = np.flatnonzero(np.r_[True, np.diff(block[differ]) != 0, True]).tolist() if len(differ) else []
-    rows = [(int(block[differ[a]]), n, _packed(at[differ[a:z]]), _squeezed(every[differ[a:z]]), None, None) for a, z in zip(edge[:-1], edge[1:])]
-    if n == 1:
-        rows.append((None, n, None, None, int(total.sum()), int((total > 0).sum())))
+                    yield from _parts(n, row["block"], keys, None, counts, bits)
+
+    return blocks.select("block", "train", "sizes", "texts").mapInArrow(run, _PASSED_DDL)
+
+
+class Sums:
+    """A bucket's n-grams of one order over all that passed them on: distinct keys, ascending, and their sums."""
+
+    def __init__(self, group: pa.Table):
+        self.n = group.column("order")[0].as_py()
+        keys = [_unpacked(x) for x in group.column("keys").to_pylist()]
+        size = np.array([len(k) for k in keys])
+        self.at = np.concatenate([np.arange(a, a + s) for a, s in zip(group.column("first").to_pylist(), size.tolist())])
+        self.own = np.concatenate([_widened(x) for x in group.column("counts").to_pylist()]).astype(np.int64)
+        self.block = np.repeat(np.asarray(group.column("block")), size)
+        key, self.more = np.concatenate(keys), None
+        if self.n == 1:
+            more = np.concatenate([np.frombuffer(x, np.uint64) for x in group.column("more").to_pylist()])
+            self.by = np.lexsort((more, key))
+            new = np.r_[True, (key[self.by][1:] != key[self.by][:-1]) | (more[self.by][1:] != more[self.by][:-1])]
+            self.more = more[self.by[new]]
+        else:
+            self.by = np.argsort(key, kind="stable")
+            new = np.r_[True, key[self.by][1:] != key[self.by][:-1]]
+        self.first = np.flatnonzero(new)
+        self.keys = key[self.by[self.first]]
+        self.total = np.add.reduceat(self.own[self.by], self.first)
+
+    def dealt(self):
+        """Rows of _TOTALS: to each that passed n-grams on, the totals that differ from what it knows."""
+        every = np.empty(len(self.own), np.int64)
+        every[self.by] = np.repeat(self.total, np.diff(np.r_[self.first, len(self.own)]))
+        differ = np.flatnonzero(every != self.own)
+        differ = differ[np.lexsort((self.at[differ], self.block[differ]))]
+        edge = np.flatnonzero(np.r_[True, np.diff(self.block[differ]) != 0, True]).tolist() if len(differ) else []
+        return [(int(self.block[differ[a]]), self.n, _packed(self.at[differ[a:z]]), _squeezed(every[differ[a:z]]), None, None) for a, z in zip(edge[:-1], edge[1:])]
+
+
+def _table_of(rows: list[tuple]) -> pa.Table:
     return pa.Table.from_batches([table(_TOTALS, *zip(*rows))], schema=_TOTALS) if rows else _TOTALS.empty_table()
 
 
-def score(docs: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES, mass: tuple[float, ...] = MASS) -> DataFrame:
+def _added_up(group: pa.Table) -> pa.Table:
+    """A bucket's totals over all blocks; of words also a row without a block, with their tokens and how many were
+    learned."""
+    sums = Sums(group)
+    rows = sums.dealt()
+    if sums.n == 1:
+        rows.append((None, 1, None, None, int(sums.total.sum()), int((sums.total > 0).sum())))
+    return _table_of(rows)
+
+
+def _dealt_on(group: pa.Table, sent: pa.Table) -> pa.Table:
+    """What a team's bucket sends its blocks once the totals over all teams have come back to it."""
+    sums = Sums(group)
+    for at, t in zip(sent.column("at").to_pylist(), sent.column("totals").to_pylist()):
+        sums.total[_unpacked(at).astype(np.int64)] = _widened(t).astype(np.int64)
+    return _table_of(sums.dealt())
+
+
+def _totals(passed: DataFrame, team: Column, bits: int, done: int, fan: int) -> DataFrame:
+    """_TOTALS, written, of n-grams passed on by their first `done` of `bits` bits. team: which of the 2^(bits - done)
+    teams a row's block belongs to."""
+    if done == bits:
+        return written(passed.groupBy("order", "bucket").applyInArrow(_added_up, _TOTALS_DDL))
+    after = min(bits, done + fan)
+    # n-grams of one bucket and team have one unit: team and bucket together
+    passed = written(passed.withColumn("unit", F.shiftleft(team, done).bitwiseOR(F.col("bucket"))))
+
+    def run(group: pa.Table) -> pa.Table:
+        sums = Sums(group)
+        return pa.Table.from_batches(_parts(sums.n, group.column("unit")[0].as_py(), sums.keys, sums.more, sums.total, after), schema=_PASSED)
+
+    above = _totals(passed.groupBy("order", "unit").applyInArrow(run, _PASSED_DDL), F.shiftright("block", after), bits, after, fan)
+    sent = above.where("block is not null").select("order", "block", "at", "totals")
+    dealt = passed.groupBy("order", "unit").cogroup(sent.groupBy("order", "block")).applyInArrow(_dealt_on, _TOTALS_DDL)
+    return written(dealt).unionByName(above.where("block is null"))
+
+
+def score(docs: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES, mass: tuple[float, ...] = MASS, fan_bits: int = FAN_BITS) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score for every row.
 
     docs: doc_id, text, train (boolean: the row's text is learned from; null: it is not). Null texts are empty: one
@@ -324,9 +379,9 @@ def score(docs: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BYTES, b
     blocks = written(_blocks(docs, block_bytes))
     n_bytes = blocks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     bits = max(0, -(-n_bytes // bucket_bytes) - 1).bit_length()
-    passed = _passed_on(blocks, order, bits)
-    totals = passed.groupBy("order", "bucket").applyInArrow(_added_up, "block long, order int, at binary, totals binary, tokens long, distinct long")
-    totals = written(totals)
+    done = min(bits, fan_bits)
+    passed = _passed_on(blocks, order, done)
+    totals = _totals(passed, F.pmod(F.xxhash64("block"), F.lit(1 << bits - done)), bits, done, fan_bits)
     n_train, n_distinct = totals.where("block is null").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 

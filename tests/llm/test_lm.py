@@ -81,6 +81,26 @@ def test_blocks_and_buckets_change_nothing(spark, order, block_bytes, bucket_byt
         assert got[i].base_score == pytest.approx(sum(math.log10(a.root(w)) for w in [*lm.tokens(t), END]))
 
 
+@pytest.mark.parametrize("fan_bits", [1, 2, 3])
+def test_blocks_merged_in_rounds_change_nothing(spark, fan_bits):
+    """Some 40 buckets: six rounds, three or two in place of one."""
+    rows = _rows(120, seed=3)
+    a, want = brute(rows)
+    df = spark.createDataFrame([(i, t.decode(), train) for i, t, train in rows], "doc_id long, text string, train boolean").repartition(3)
+    got = {r.doc_id: r for r in lm.score(df, block_bytes=300, bucket_bytes=250, fan_bits=fan_bits).collect()}
+    assert len(got) == len(rows)
+    for (i, t, _), s in zip(rows, want):
+        assert got[i].score == pytest.approx(s) and got[i].train_tokens == a.n
+        assert got[i].n_known == sum(a.c[w,] > 0 for w in [*lm.tokens(t), END])
+
+
+def test_a_block_has_no_more_rows_than_the_fan_allows(spark):
+    text = " ".join(f"w{i * 7919 % 100_003}" for i in range(3000))
+    blocks = lm._blocks(spark.createDataFrame([(1, text, True)], "doc_id long, text string, train boolean"), 1 << 20)
+    rows = lm._passed_on(blocks, 3, 4).groupBy("order").count().collect()
+    assert len(rows) == 3 and all(r["count"] <= 16 for r in rows)
+
+
 @pytest.mark.parametrize("order", [1, 2, 3, 4])
 @pytest.mark.parametrize("stretch", [1, 2, 7, 64])
 def test_stretches_arrive_in_the_state_of_the_whole_walk(monkeypatch, order, stretch):
