@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quayside.operators.anomaly import ORIGIN_COLUMNS, anomaly_layer, profile
 from quayside.plans.direct import direct_panel, recency_weights, trainable
 from quayside.plans.models import SMALL, Inputs, fit_model
 from quayside.plans.recursive import BACK, forecast_with
 from quayside.sources.panel import KNOWN_FUTURE
+from quayside.sources.shared import written
 
 #: What names a fold.
 FOLD = ["strategy", "origin_type", "origin"]
@@ -77,6 +80,34 @@ def direct_strategy(panel: DataFrame, kind: str, half_life: float = 365.0, trees
     return run
 
 
+def layered_strategy(
+    state: DataFrame, kind: str, half_life: float = 365.0, trees: int = 400, seeds: tuple[int, ...] = (42,), inputs: Inputs = SMALL, mode: str = "both", alpha: float = 0.01, policy: str = "downweight",
+    threshold: str = "empirical", horizons: int = 7,
+) -> Strategy:
+    """As direct_strategy, with the anomaly layer of each origin on it: scores, thresholds, flags and weights come from the
+    days up to the origin alone, and so do the panel that is fitted on and the columns of the origin's row.
+
+    mode: "weight" (training rows weigh by their target day), "features" (the origin's profile stands among the inputs),
+    "both", or "off".
+    """
+    seen = replace(inputs, plain=(*inputs.plain, *[f"origin_{c}" for c in ORIGIN_COLUMNS])) if mode in ("features", "both") else inputs
+
+    def run(origin: str) -> DataFrame:
+        day = F.lit(origin).cast("date")
+        past = state.where(F.col("date_key") <= day)
+        prof = written(profile(past, alpha, policy=policy, threshold=threshold))
+
+        def to_fit_on(rows: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+            return recency_weights(trainable(direct_panel(rows, horizons, keep=keep), origin), origin, half_life)
+
+        train = anomaly_layer(past, to_fit_on, prof, mode=mode)
+        held = anomaly_layer(state, lambda rows, keep: direct_panel(rows, horizons, origins=[origin], keep=keep), prof, mode="features" if seen is not inputs else "off")
+        made = fit_model(train, kind, trees, seeds, seen).predict(held)
+        return made.select("product_id", "horizon", "target_date", F.col("target").alias("actual"), "available", "pred")
+
+    return run
+
+
 def recursive_strategy(state: DataFrame, kind: str, half_life: float = 365.0, trees: int = 400, seeds: tuple[int, ...] = (42,), horizons: int = 7, inputs: Inputs = SMALL) -> Strategy:
     """Fits a one-step model on the rows known at the origin and feeds its predictions back."""
 

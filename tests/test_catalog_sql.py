@@ -6,10 +6,10 @@ import os
 import duckdb
 import pytest
 
-from quayside import catalog, catalog_decisions, catalog_evidence, catalog_mixtures, catalog_models, catalog_reports, catalog_strategies
+from quayside import catalog, catalog_context, catalog_decisions, catalog_evidence, catalog_mixtures, catalog_models, catalog_reports, catalog_strategies
 
 DIR = "/root/testdata/sf0.001"
-PARTS = [catalog, catalog_decisions, catalog_evidence, catalog_mixtures, catalog_models, catalog_reports, catalog_strategies]
+PARTS = [catalog, catalog_context, catalog_decisions, catalog_evidence, catalog_mixtures, catalog_models, catalog_reports, catalog_strategies]
 #: 430,000 rows, which a test need not sort: its columns stand in set1_pnl2_future_panel as well.
 LARGE = {"pnl2_win6_12_21_direct_panel"}
 QUERIES = {k: v for p in PARTS for k, v in p.queries().items()}
