@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from quayside import catalog as base
 from quayside import catalog_reports as reports
-from quayside.catalog import _OOF, _SCORED, _STATE, _r
-from quayside.operators import anomaly, report
-from quayside.plans import walk
+from quayside.catalog import _METRICS, _OOF, _PANEL, _SCORED, _STATE, MODELS, ORIGINS, _r
+from quayside.operators import anomaly, report, windows
+from quayside.plans import direct, evaluate, walk
+from quayside.sources import panel as source
 from quayside.sources.shared import shared_dir, written
 
 _Q: dict = {}
@@ -147,6 +148,30 @@ z AS (SELECT ends, is_last, {_Z.format('a')} AS za, {_Z.format('b')} AS zb FROM
 SELECT ends AS date_key, {_r('sum(za)', 'demand')}, {_r('sum(zb)', 'n_available')}, {_r('max(za) FILTER (WHERE is_last)', 'last_demand')}, {_r('max(zb) FILTER (WHERE is_last)', 'last_available')} FROM z GROUP BY ends""",
 )
 
+# a finer grain ----------------------------------------------------------------------------------------------------------
+
+_FINE = ("p_brand", "p_type")
+_BY_PART = ("p_partkey",)
+
+
+def _at_grain(sql: str, grain: tuple[str, ...]) -> str:
+    return sql.replace("p_brand AS series", f"concat_ws('|', {', '.join(grain)}) AS series")
+
+
+def _fine_wape(s, d):
+    """Errors of the baselines over thousands of series."""
+    state = windows.with_state(source.fill_calendar(source.sales_panel(s, d, _FINE)))
+    long = evaluate.long_form(direct.naive_forecasts(state, ORIGINS), MODELS)
+    return long.where("common").groupBy("model").agg(*evaluate.metrics())
+
+
+_add(
+    "src1_ids_by_part",
+    lambda s, d: source.sales_panel(s, d, _BY_PART).groupBy("product_id").agg(F.count("*").alias("n_days"), F.sum("quantity").alias("quantity"), F.avg("price").alias("price")),
+    f"{_at_grain(_PANEL, _BY_PART)} SELECT product_id, count(*) AS n_days, {_r('sum(quantity)', 'quantity')}, {_r('avg(price)', 'price')} FROM panel GROUP BY product_id",
+)
+_add("pnl11_12_agg6_fine_wape", _fine_wape, f"{_at_grain(_OOF, _FINE)} SELECT model, {_METRICS} FROM long WHERE common GROUP BY model")
+
 # walk-forward with the anomaly layer ----------------------------------------------------------------------------------------
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quayside.sources.shared import written
+
 #: Campaign codes beside -1 (none).
 CAMPAIGN_CODES = [0, 1, 2, 3, 4, 5, 16, 18, 19]
 #: What is known of a future day; quantities and availability are not.
@@ -17,8 +19,25 @@ def _campaign(code: Column) -> Column:
     return F.when(k < len(CAMPAIGN_CODES), F.get(F.array(*map(F.lit, CAMPAIGN_CODES)), k)).otherwise(-1)
 
 
+def series_numbers(series: DataFrame) -> DataFrame:
+    """series, product_id: every distinct series, numbered from 1 in ascending order.
+
+    They are sorted over range partitions and written; a partition's count gives the next one's first number, so no task
+    holds more than its partition.
+    """
+    at = F.monotonically_increasing_id()
+    rows = series.select("series").distinct().orderBy("series")
+    rows = written(rows.select("series", F.shiftright(at, 33).alias("part"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("at")))
+    before, n = [], 1
+    for part, k in sorted((r.part, r.n) for r in rows.groupBy("part").agg(F.count("*").alias("n")).collect()):  # a row per partition
+        before.append((part, n))
+        n += k
+    offsets = series.sparkSession.createDataFrame(before, "part long, before long")
+    return rows.join(F.broadcast(offsets), "part").select("series", (F.col("at") + F.col("before")).alias("product_id"))
+
+
 def sales_panel(spark: SparkSession, sf_dir: str, grain: tuple[str, ...] = ("p_brand",)) -> DataFrame:
-    """One row per series and day of lineitem x part; series are numbered by dense rank of the grain."""
+    """One row per series and day of lineitem x part; series are numbered in the order of the grain."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_retailprice", F.concat_ws("|", *grain).alias("series"))
     line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
         "l_partkey", "l_orderkey", "l_quantity", "l_discount", "l_returnflag", "l_linestatus", F.to_date("l_shipdate").alias("date_key")
@@ -34,9 +53,7 @@ def sales_panel(spark: SparkSession, sf_dir: str, grain: tuple[str, ...] = ("p_b
         F.when(discount >= 0.09, 100 * discount).otherwise(0.0).alias("d"),
         F.round(F.avg("p_retailprice"), 6).alias("price"),
     )
-    names = part.select("series").distinct()
-    ids = names.select("series", F.dense_rank().over(Window.orderBy("series")).cast("long").alias("product_id"))  # one row per series
-    return days.join(F.broadcast(ids), "series").select(
+    return days.join(series_numbers(part), "series").select(
         "product_id", "date_key", "available", "quantity_app", "quantity_web", (F.col("quantity_app") + F.col("quantity_web")).alias("quantity"),
         "is_promo", "campaign_web", "campaign_app", F.col("d").alias("discount_web"), F.when(F.col("quantity_app") > 0, F.col("d")).otherwise(0.0).alias("discount_app"), "price",
     )
