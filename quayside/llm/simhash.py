@@ -90,13 +90,14 @@ def _popcounts(fp: np.ndarray) -> np.ndarray:
     return np.stack([(two >> np.uint64(2 * k)).astype(np.uint8) & 3 for k in range(32)], axis=1)
 
 
-def links(points: DataFrame, radius: int = 3) -> DataFrame:
+def links(points: DataFrame, radius: int = 3, same: int = 3) -> DataFrame:
     """a, b: links between distinct fingerprints within `radius` bits, enough to connect all that are reachable.
 
-    points: distinct fp long.
+    points: distinct fp long. same: groups of segments that a cell holds, of radius + same; fewer make fewer grids, of
+    coarser cells.
     """
-    groups = radius + 3
-    chosen = list(combinations(range(groups), groups - radius))
+    groups = radius + same
+    chosen = list(combinations(range(groups), same))
     key_schema = pa.schema([("cell", pa.int64()), ("fp", pa.int64())])
 
     def cells(batches):
