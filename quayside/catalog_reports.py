@@ -13,7 +13,7 @@ from quayside.operators import anomaly, blend, representation
 from quayside.plans import direct, evaluate, models
 from quayside.sources import panel as source
 from quayside.sources import sinks
-from quayside.sources.shared import shared_dir
+from quayside.sources.shared import shared_dir, written
 
 _Q: dict = {}
 _SQL: dict[str, str] = {}
@@ -158,8 +158,7 @@ def _walked(kind: str, origins=ORIGINS[-3:]):
     """A fit per origin on the rows up to it, and the errors of its week ahead."""
 
     def query(s, d):
-        state = base._state(s, d)
-        oof = models.walk_forward(direct.direct_panel(state), origins, kind)
+        oof = models.walk_forward(written(direct.direct_panel(base._state(s, d))), origins, kind)
         return oof.where(F.coalesce("available", F.lit(False))).groupBy("origin").agg(*evaluate.metrics())
 
     return query
@@ -178,7 +177,7 @@ _add("pnl13_final_ridge", _final_ridge, None)
 
 
 def _shares(s, d):
-    panel = direct.direct_panel(base._state(s, d), 7)
+    panel = written(direct.direct_panel(base._state(s, d), 7))
     return models.fit_share(direct.trainable(panel, "2000-12-03"), panel.where(F.col("origin").isin([F.lit(o).cast("date") for o in ORIGINS[-2:]]))).groupBy("horizon").agg(F.avg("share").alias("share"), F.count("*").alias("n"))
 
 
