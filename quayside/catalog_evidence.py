@@ -13,6 +13,7 @@ from quayside.functions import scalar
 from quayside.operators import anomaly, audit, blend, context, select
 from quayside.plans import direct, evaluate, models
 from quayside.sources import sinks
+from quayside.sources.shared import written
 
 _Q: dict = {}
 _SQL: dict[str, str] = {}
@@ -134,7 +135,7 @@ _add("srt6_recent_origins", lambda s, d: select.recent_origins(base._panel(s, d)
 
 def _modelled(kind: str, trees: int = 20, seeds: tuple[int, ...] = (42,)):
     def query(s, d):
-        panel = direct.direct_panel(base._state(s, d))
+        panel = written(direct.direct_panel(base._state(s, d)))
         train = direct.recency_weights(direct.trainable(panel, "2000-12-03"), "2000-12-03", 365)
         held = panel.where(F.col("origin").isin([F.lit(o).cast("date") for o in ("2000-12-03", "2001-10-21")]))
         out = models.fit_predict(train, held, kind, trees, seeds).withColumnRenamed("target", "actual")

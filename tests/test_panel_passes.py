@@ -31,3 +31,8 @@ def passes(spark, monkeypatch, name):
 def test_walks_and_final_fits_read_the_state_once(spark, monkeypatch, name):
     made, n = passes(spark, monkeypatch, name)
     assert made == n
+
+
+def test_fits_at_a_cutoff_read_the_state_once(spark, monkeypatch):
+    made, n = passes(spark, monkeypatch, "mdl6_huber")
+    assert made == n
